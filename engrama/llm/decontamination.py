@@ -121,8 +121,9 @@ class Index:
             spot = np.minimum(np.searchsorted(table_, h), len(table_) - 1)
             for p, s in zip(at[table_[spot] == h].tolist(), spot[table_[spot] == h].tolist()):
                 for item, q in where[s]:
-                    if 0 <= p - q <= len(words) - self.items[item][1]:
-                        found.setdefault(item, set()).add(p - q)
+                    # a passage cut off by the text's start or end lies in the first or last window
+                    if (last := len(words) - self.items[item][1]) >= 0:
+                        found.setdefault(item, set()).add(min(max(p - q, 0), last))
         for item, s in found.items():
             order, near = sorted(s), self.items[item][1] // 4 + 1
             for a, b in zip(order, order[1:]):
