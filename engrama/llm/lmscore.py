@@ -68,7 +68,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b["text"]:
                 seen.update(words_of(t))
-            if len(seen) > 300_000:
+            if len(seen) > 600_000:
                 yield from flush(seen, xxh64_intdigest)
         yield from flush(seen, xxh64_intdigest)
 
@@ -118,10 +118,8 @@ def explode_ngrams(docs: DataFrame, buckets: int, hot: set[int], chunk: int) ->
                     for lo, hi in zip(*_runs(to)):
                         own = at[lo:hi]
                         used, index = np.unique(np.concatenate([a[own], b[own], c[own]]), return_inverse=True)
-                        small = np.uint16 if len(used) < 65_536 else np.uint32
                         # planes of one byte each, and steps from document to document, compress well
-                        index = index.astype(small).reshape(3, -1)
-                        rows.append((int(to[lo]), pack(pickle.dumps((kind, uid, h[used], [index[0], index[1], index[2]], np.diff(doc[own], prepend=0).astype(np.uint32))))))
+                        rows.append((int(to[lo]), pack(pickle.dumps((kind, uid, h[used], [_planes(x) for x in index.reshape(3, -1)], _planes(np.diff(doc[own], prepend=0)))))))
             uid += len(n)
             numbers, parts, ids, counts = Numbers(), [], [], []
             for i in range(0, len(rows), 64):
@@ -146,6 +144,24 @@ def explode_ngrams(docs: DataFrame, buckets: int, hot: set[int], chunk: int) ->
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "bucket int, blob binary")
 
 
+def _planes(numbers) -> list[bytes]:
+    """Non-negative numbers under 2^32 byte by byte, lowest bytes first; high planes of zeros are left out."""
+    import numpy as np
+
+    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
+    last = max((i + 1 for i in range(4) if raw[:, i].any()), default=1)
+    return [raw[:, i].tobytes() for i in range(last)]
+
+
+def _unplanes(planes: list[bytes]):
+    import numpy as np
+
+    out = np.zeros(len(planes[0]), dtype=np.int64)
+    for i, p in enumerate(planes):
+        out |= np.frombuffer(p, dtype=np.uint8).astype(np.int64) << (8 * i)
+    return out
+
+
 def _runs(sorted_values):
     """Starts and ends of the runs of equal values."""
     import numpy as np
@@ -195,7 +211,7 @@ def terms(kind: str, a, b, c, total: int, hot_counts: dict[int, int]):
     return out
 
 
-def score(docs: DataFrame, buckets: int = 64, per_bucket: int = 3_000_000, hot: float = 0.5, chunk: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, buckets: int = 64, per_bucket: int = 3_000_000, hot: float = 0.5, chunk: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, score (sum of log S) and mean (score per word) of every row."""
     counts = stage(unigrams(docs), "unigrams")
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -226,10 +242,10 @@ def score(docs: DataFrame, buckets: int = 64, per_bucket: int = 3_000_000, hot:
             del blobs
             for kind in sorted(kinds):
                 found = kinds.pop(kind)
-                a, b_, c = (np.concatenate([x[2][x[3][i]] for x in found]) for i in range(3))
+                a, b_, c = (np.concatenate([x[2][_unplanes(x[3][i])] for x in found]) for i in range(3))
                 got, at = terms(kind, a, b_, c, total, hot_counts), 0
                 for x in found:
-                    doc = np.cumsum(x[4], dtype=np.int64)
+                    doc = np.cumsum(_unplanes(x[4]))
                     sums = np.bincount(doc, weights=got[at : at + len(doc)])
                     here = np.flatnonzero(np.bincount(doc))
                     at += len(doc)
