@@ -69,7 +69,8 @@ CTE = {
     "qt": (["q"], f"SELECT DISTINCT qid, unnest({_words('query')}) AS term FROM q"),
     "bm": (["tf", "qt", "tdf", "dl"], "SELECT qid, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS bm25 FROM tf JOIN qt USING (term) JOIN tdf USING (term) JOIN dl USING (id), (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl) GROUP BY ALL"),
     "qw": (["qt"], "SELECT qid, list(term) AS w FROM qt GROUP BY qid"),
-    "ks": (["live", "qw"], "SELECT * FROM (SELECT qid, id, len(list_filter(w, lambda t: contains(lower(text), t))) / len(w) AS kw FROM qw, live) WHERE kw > 0"),
+    "ks": (["low", "qw"], "SELECT * FROM (SELECT qid, id, len(list_filter(w, lambda t: contains(lt, t))) / len(w) AS kw FROM qw, low) WHERE kw > 0"),
+    "low": (["live"], "SELECT id, lower(text) AS lt FROM live"),
     "ds": (["q", "bv"], "SELECT qid, id, max(list_dot_product(qvec, vec)) AS cos FROM q, bv WHERE qvec IS NOT NULL GROUP BY ALL HAVING max(list_dot_product(qvec, vec)) > 0"),
     "sc": (["live", "q", "ds", "ks", "bm", "uc"], f"SELECT q.qid, live.id, round(coalesce(cos, 0), 9) AS cos, round(coalesce(kw, 0), 9) AS kw, round(coalesce(bm25, 0), 9) AS bm25, coalesce(n, 0) AS usage, round(exp(-greatest(0, (epoch({NOW}) - epoch(time)) / 86400.0::DOUBLE) / 90), 9) AS recency FROM live CROSS JOIN q LEFT JOIN ds ON ds.qid = q.qid AND ds.id = live.id LEFT JOIN ks ON ks.qid = q.qid AND ks.id = live.id LEFT JOIN bm ON bm.qid = q.qid AND bm.id = live.id LEFT JOIN uc ON uc.id = live.id"),
     "nm": (["sc"], "SELECT *, coalesce(cos / nullif(max(cos) OVER w, 0), 0) AS c, coalesce(bm25 / nullif(max(bm25) OVER w, 0), 0) AS m, coalesce(kw / nullif(max(kw) OVER w, 0), 0) AS k, 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id)) + 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id)) AS rr, ln(1 + usage) AS lu FROM sc WINDOW w AS (PARTITION BY qid)"),
