@@ -52,7 +52,9 @@ def community_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     m = members.select("cid", "node")
     x = edges.join(m.toDF("ca", "source"), "source").join(m.toDF("cb", "target"), "target").where("ca <> cb")
     x = x.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "type", "weight", "evidence", F.struct("source", "target", "type").alias("o"))
-    w = x.groupBy("a", "b").agg(F.round(F.sum("weight"), 3).alias("weight"), F.min_by("evidence", "o").alias("first"))
+    # weights have four decimals: summed as whole numbers, so that halves round alike in any order
+    total = F.sum(F.round(F.col("weight") * 10000).cast("long"))
+    w = x.groupBy("a", "b").agg((F.floor((total + 5) / 10) / 1000.0).alias("weight"), F.min_by("evidence", "o").alias("first"))
     names = x.where("type = 'entity'").select("a", "b", F.explode(F.split(F.replace("evidence", F.lit("共享实体: "), F.lit("")), "、")).alias("word"))
     n = names.groupBy("a", "b", "word").agg(F.count("*").alias("n"))
     n = n.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("n"), "word"))).where("r <= 3")

@@ -57,7 +57,7 @@ CTE = {
     "kwx": (["kw0"], "SELECT cid, sub AS entity, max(score) AS o FROM (SELECT cid, entity, score, unnest(flatten(list_transform(range(1, length(entity) + 1), lambda k: list_transform(range(1, length(entity) - k + 2), lambda i: substr(entity, i, k))))) AS sub FROM kw0) WHERE sub <> entity GROUP BY ALL"),
     "kw": (["kw0", "kwx"], "SELECT * FROM (SELECT a.cid, a.entity AS keyword, a.score, row_number() OVER (PARTITION BY a.cid ORDER BY a.score DESC, a.entity) AS rank FROM kw0 a LEFT JOIN kwx b ON a.cid = b.cid AND a.entity = b.entity WHERE b.o IS NULL OR b.o < a.score) WHERE rank <= 5"),
     "cx": (["lg", "mb"], "SELECT least(a.cid, b.cid) AS source, greatest(a.cid, b.cid) AS target, lg.weight, lg.evidence, (lg.source, lg.target, lg.type) AS o FROM lg JOIN mb a ON a.node = lg.source JOIN mb b ON b.node = lg.target WHERE a.cid <> b.cid"),
-    "ce": (["cx"], "SELECT source, target, round(sum(weight), 3) AS weight, arg_min(evidence, o) AS bridge FROM cx GROUP BY ALL"),
+    "ce": (["cx"], "SELECT source, target, CAST((CAST(sum(CAST(round(weight * 10000) AS BIGINT)) AS BIGINT) + 5) // 10 AS DOUBLE) / 1000.0::DOUBLE AS weight, arg_min(evidence, o) AS bridge FROM cx GROUP BY ALL"),
     "cdims": (["bv", "mb"], "SELECT cid, i, sum(vec[i]) AS x FROM bv JOIN mb ON node = id, range(1, 65) t(i) GROUP BY cid, i"),
     "cvec": (["cdims"], "SELECT cid, list(x / n ORDER BY i) AS vec FROM cdims JOIN (SELECT cid, sqrt(sum(x * x)) AS n FROM cdims GROUP BY cid) USING (cid) GROUP BY cid"),
     "q": ([], "SELECT item_id AS qid, text AS query, CAST(embedding AS DOUBLE[]) AS qvec FROM benchmark LEFT JOIN embeddings ON vec_id = item_id"),
