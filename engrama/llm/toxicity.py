@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import stage, table
 
 FIT_ROWS, MAX_FEATURES, LM_WORDS = 40_000, 4096, 30_000
+#: A feature counts from this many standard errors between toxic and other documents.
+CLEAR = 4.0
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h"}
 EDGE = ".,;:?\"'()[]{}<>«»„“”!"
@@ -159,6 +161,14 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return docs.select("doc_id", "text").join(F.broadcast(truth), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # at most fit_rows pairs of numbers
 
 
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """One row of those with the same label and the same least 3-word shingle, so that copies don't pass for evidence."""
+    w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
+    least = F.expr("CASE WHEN size(_w) < 3 THEN xxhash64(array_join(_w, ' ')) ELSE array_min(transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2]))) END")
+    keyed = sample.withColumn("_w", w).select("text", "toxic", least.alias("_least"))
+    return keyed.groupBy("toxic", "_least").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
 def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -228,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_featur
     import numpy as np
 
     sc = docs.sparkSession.sparkContext
-    sample = stage(fit_sample(docs, labels, fit_rows), "toxic_fit")
+    sample = stage(one_of_copies(fit_sample(docs, labels, fit_rows)), "toxic_fit")
 
     def count_words(batches):
         seen = Counter()
@@ -263,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_featur
     counts = sample.mapInPandas(count_features, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     p = (F.col("t") + F.col("n")) / (toxic + other)
     z = (F.col("t") / toxic - F.col("n") / other) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / other) + 1e-12)
-    best = counts.where("t + n >= 3").withColumn("z", z).where("z >= 3.0").orderBy(F.desc("z"), "f").limit(max_features)
+    best = counts.where("t + n >= 3").withColumn("z", z).where(F.col("z") >= CLEAR).orderBy(F.desc("z"), "f").limit(max_features)
     scorer.counts = {r["f"]: (r["t"], r["n"]) for r in best.collect()}
     bc2 = sc.broadcast(scorer)
 
