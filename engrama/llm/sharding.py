@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation over document groups.
 
 Documents are nodes; a link says that a document belongs to a group (here: equal texts), and a cut edge is a member
-outside its group's main shard. Every round is a set of joins: count members per (group, shard), take the group's main
-shard, let members elsewhere ask to move there, and admit of each shard's applicants the share that its free quota
-allows, by a hash of (document, round). Quotas leave `slack` during the rounds. At the end counts are evened out: the
-documents beyond a shard's exact quota, unlinked ones first, fill the shards below theirs. So row counts differ by one
-at most (law `rows`), every slot is gapless, and groups stay together as far as a shard can hold them.
+outside its group's main shard. Every round is a set of joins: count members per (group, shard), take as the group's main
+shard the one with most members among those whose free quota can hold the others (if there is none, the one with most),
+let members elsewhere ask to move there, and admit of each shard's applicants the share that its free quota allows, by a
+hash of (document, round). Only linked documents use up quotas in the rounds, as unlinked ones can give way. Groups over
+`whole` of a shard are dealt by hash into parts of that size first, since they must be cut anyway. At the end counts are
+evened out: the documents beyond a shard's exact quota, unlinked ones first, fill the shards below theirs. So row counts
+differ by one at most (law `rows`), every slot is gapless, and groups stay together as far as a shard can hold them.
 
 Nulls and edge cases: a null text has no bytes (size 8, crc 0) and links with other null texts but not with empty ones;
 null doc_id rows are placed like others; repeated rows are one group; an empty table gives no rows; more shards than rows
@@ -20,14 +22,18 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import ranked, stage, table
 
 
-def propagate(linked: DataFrame, n_shards: int, quota: float, load: dict[int, int], rounds: int = 6, slack: float = 0.05, seed: int = 7) -> DataFrame:
+def propagate(linked: DataFrame, n_shards: int, quota: float, rounds: int = 12, seed: int = 7) -> DataFrame:
     """linked: node, grp, shard (one row per membership; a node has one shard). Gives node, grp, shard after the rounds.
-    load: nodes per shard, also those without links; quota: nodes that a shard may hold."""
-    load = dict(load)
+    quota: linked nodes that a shard may hold."""
+    one = linked.select("node", "shard").distinct().groupBy("shard").agg(F.count("*").alias("n"))
+    load = {s: 0 for s in range(n_shards)} | {x["shard"]: x["n"] for x in one.collect()}  # n_shards rows
     for r in range(rounds):
+        room = F.create_map(*[F.lit(v) for s in range(n_shards) for v in (s, max(0.0, quota - load[s]))])
         votes = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
+        sizes = votes.groupBy("grp").agg(F.sum("n").alias("total")).withColumnRenamed("grp", "_s")
+        votes = votes.join(sizes, votes["grp"] == sizes["_s"]).withColumn("fits", (F.col("total") - F.col("n") <= F.element_at(room, F.col("shard"))).cast("int"))
         # ties go by a hash of the group, so that equal votes spread over the shards
-        main = votes.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard", F.lit(seed)), "shard")).alias("m")).select(F.col("grp").alias("_g"), F.col("m.shard").alias("want"), F.col("m.n").alias("votes"))
+        main = votes.groupBy("grp").agg(F.max(F.struct("fits", "n", F.xxhash64("grp", "shard", F.lit(seed + r)), "shard")).alias("m")).select(F.col("grp").alias("_g"), F.col("m.shard").alias("want"), F.col("m.n").alias("votes"))
         asked = linked.join(main, linked["grp"] == main["_g"])
         # of several groups' wishes, a node follows the strongest
         wish = asked.groupBy("node", "shard").agg(F.max(F.struct("votes", "want")).alias("m")).select("node", "shard", F.col("m.want").alias("want"))
@@ -37,7 +43,7 @@ def propagate(linked: DataFrame, n_shards: int, quota: float, load: dict[int, in
             break
         into = {s: sum(n for (_, t), n in flows.items() if t == s) for s in range(n_shards)}
         out = {s: sum(n for (t, _), n in flows.items() if t == s) for s in range(n_shards)}
-        admit = {s: min(1.0, max(0.0, quota * (1 + slack) - load[s] + out[s] / 2) / into[s]) for s in range(n_shards) if into[s]}
+        admit = {s: min(1.0, max(0.0, quota - load[s] + out[s] / 2) / into[s]) for s in range(n_shards) if into[s]}
         share = F.create_map(*[F.lit(v) for kv in admit.items() for v in kv])
         coin = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         moves = stage(wish.where(coin < F.element_at(share, F.col("want"))).select(F.col("node").alias("_n"), "shard", "want"), "moves")
@@ -77,7 +83,7 @@ def even_out(placed: DataFrame, n_shards: int) -> DataFrame:
     return kept.union(extra.select("node", shard.alias("shard"), slot.alias("slot")))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 6, carry: list[str] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 12, whole: float = 0.9, carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_size and the `carry` columns for every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     raw = docs.select(
@@ -86,12 +92,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, rounds: int = 6, carry:
     )
     rows = stage(raw.withColumn("node", F.monotonically_increasing_id()), "shard_rows")
     start = F.pmod(F.xxhash64("node"), F.lit(n_shards)).cast("int")
-    groups = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    linked = rows.join(groups.select("grp"), "grp", "left_semi").select("node", "grp", start.alias("shard"))
-    linked = stage(linked, "linked")
     total = rows.count()
-    load = {s: 0 for s in range(n_shards)} | {x["s"]: x["n"] for x in rows.groupBy(start.alias("s")).agg(F.count("*").alias("n")).collect()}
-    moved = propagate(linked, n_shards, total / n_shards, load, rounds).groupBy("node").agg(F.first("shard").alias("_to"))
+    quota = total / n_shards
+    groups = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    parts = groups.select(F.col("grp").alias("_g"), F.ceil(F.col("n") / F.lit(max(quota * whole, 1.0))).alias("_parts"))
+    linked = rows.select("node", "grp", start.alias("shard")).join(parts, F.col("grp") == F.col("_g"))
+    part = F.when(F.col("_parts") > 1, F.concat_ws("/", "grp", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts")).cast("string"))).otherwise(F.col("grp"))
+    linked = stage(linked.select("node", part.alias("grp"), "shard"), "linked")
+    moved = propagate(linked, n_shards, quota, rounds).groupBy("node").agg(F.first("shard").alias("_to"))
     placed = rows.select("node").join(moved, "node", "left").select("node", F.coalesce("_to", start).alias("shard"), F.when(F.col("_to").isNull(), 1).otherwise(0).alias("loose"))
     final = even_out(placed, n_shards)
     out = rows.join(final, "node")
