@@ -158,3 +158,34 @@ def stratum_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lost = reduce(lambda a, b: a | b, [F.array_contains("failed_rules", r) for r in RULES])
     langs = docs.select("doc_id", "lang")
     return verdict.join(truth, "doc_id").join(langs, "doc_id").groupBy("lang").agg(F.count("*").alias("good"), F.count(F.when(lost, 1)).alias("lost"))
+
+
+_CUTS = ", ".join(f"('{r}', {i}, CAST({c} AS DOUBLE))" for r, (_, cuts) in RULES.items() for i, c in enumerate(cuts))
+_VALUE = "CASE rule " + " ".join(f"WHEN '{r}' THEN {stat}" for r, (stat, _) in RULES.items()) + " END"
+#: CRC-32 by its bits, of which the last one decides the fold
+_FOLD = """1 - (list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) & 1)"""
+OP1_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+  w AS MATERIALIZED (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+  g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+  r AS (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM g) WHERE n > 1),
+  rep AS (SELECT rid, count(DISTINCT pos) AS n FROM r GROUP BY rid),
+  s AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
+        - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid)),
+  st AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
+  truth AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+  cuts(rule, step, cutoff) AS (VALUES {_CUTS}),
+  x AS (SELECT lang, quality, rule, step, cutoff, {_FOLD} AS fold, {_VALUE} >= cutoff AS hit FROM st JOIN truth USING (doc_id) CROSS JOIN cuts WHERE NOT base_failed),
+  n AS (SELECT lang, rule, step, cutoff, count(*) FILTER (fold = 1 AND quality = 1) AS n, count(*) FILTER (fold = 1 AND quality = 1 AND hit) AS k,
+      count(*) FILTER (fold = 0 AND quality <> 1 AND hit) AS bad, count(*) FILTER (fold = 0 AND hit) AS hits FROM x GROUP BY ALL),
+  p AS (SELECT *, CASE WHEN k > n * {0.05 / len(RULES)!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+      + j * ln({0.05 / len(RULES)!r}::DOUBLE) + (n - j) * ln(1 - {0.05 / len(RULES)!r}::DOUBLE)))) END AS p FROM n),
+  h AS (SELECT *, min(CASE WHEN n > 0 AND p <= 0.1::DOUBLE / ((SELECT count(DISTINCT coalesce(lang, chr(1))) FROM n) * {len(RULES)}) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY lang, rule ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM p),
+  c AS (SELECT lang, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)} FROM h WHERE held = 1 AND bad >= greatest(1, hits * 0.5::DOUBLE) GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({" OR ".join(f"coalesce({stat} >= cut_{r}, false)" for r, (stat, _) in RULES.items())}) AS kept
+FROM st LEFT JOIN c ON st.lang IS NOT DISTINCT FROM c.lang"""

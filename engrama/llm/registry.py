@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_lm_scoring": lmscore.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op3_lm_scoring": lmscore.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op7_warc": warc.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}
