@@ -118,16 +118,18 @@ def suspicious(token: str) -> bool:
 
 
 class Restorer:
-    """Restores texts; readings of tokens are kept, up to `keep` of them."""
+    """Restores texts; readings of suspicious tokens are kept, up to `keep` of them."""
 
     def __init__(self, model: CharModel, keep: int = 200_000):
         self.model, self.keep, self.known = model, keep, {}
 
     def token(self, token: str) -> str:
+        if not suspicious(token):
+            return token
         if token not in self.known:
             if len(self.known) >= self.keep:
                 self.known.clear()
-            self.known[token] = self.model.decode(token.strip(EDGE.replace("!", ""))) if suspicious(token) else token
+            self.known[token] = self.model.decode(token.strip(EDGE.replace("!", "")))
         return self.known[token]
 
     def tokens(self, text: str | None) -> set[str]:
@@ -180,6 +182,34 @@ class Scorer:
         self.restorer, self.counts, self.toxic, self.other = restorer, counts, toxic, other
         self.known: dict[str, tuple] = {}
         self.coef: list[float] | None = None
+        self.tables: dict[str, dict[str, float]] = {}
+
+    def seal(self) -> None:
+        """Fix the evidence of every feature, for scoring."""
+        self.known = {}
+        self.tables = {kind: {} for kind in ("w", "p4", "s4", "p5", "p6")}
+        for f in self.counts:
+            kind, part = f.split(":", 1)
+            self.tables[kind][part] = self.log_odds(f, 0, 0)
+
+    def log_odds(self, feature: str, dt: int, dn: int) -> float:
+        t, n = self.counts[feature]
+        a, b = max(t - dt, 0) + 0.5, max(n - dn, 0) + 0.5
+        return min(math.log(a / (self.toxic - dt + 1)) - math.log(b / (self.other - dn + 1)), 8.0)
+
+    def weight(self, token: str) -> float:
+        """Strongest evidence of a token, by the fixed tables."""
+        best = 0.0
+        w, p4, s4, p5, p6 = self.tables.values()
+        for word in (token,) if token.isalpha() else LETTERS.findall(token):
+            best = max(best, w.get(word, 0.0))
+            if (n := len(word)) > 4:
+                best = max(best, p4.get(word[:4], 0.0), s4.get(word[-4:], 0.0))
+                if n > 5:
+                    best = max(best, p5.get(word[:5], 0.0))
+                    if n > 6:
+                        best = max(best, p6.get(word[:6], 0.0))
+        return best
 
     def weights(self, token: str) -> tuple[float, float, float]:
         """Strongest evidence of a token; the same without one toxic document; without one other document."""
@@ -190,18 +220,18 @@ class Scorer:
             for word in LETTERS.findall(token):
                 for f in features(word):
                     if f in self.counts:
-                        t, n = self.counts[f]
                         for k, (dt, dn) in enumerate(((0, 0), (1, 0), (0, 1))):
-                            a, b = max(t - dt, 0) + 0.5, max(n - dn, 0) + 0.5
-                            w = math.log(a / (self.toxic - dt + 1)) - math.log(b / (self.other - dn + 1))
-                            best[k] = max(best[k], min(w, 8.0))
+                            best[k] = max(best[k], self.log_odds(f, dt, dn))
             self.known[token] = tuple(best)
         return self.known[token]
 
     def evidence(self, text: str | None, own: int | None = None) -> list[float]:
         """own: the document's label while fitting, to leave it out."""
-        k = 0 if own is None else 1 if own else 2
-        found = sorted((w for t in self.restorer.tokens(text) if (w := self.weights(t)[k]) > 0.7), reverse=True)
+        if own is None:
+            found = [w for t in self.restorer.tokens(text) if (w := self.weight(t)) > 0.7]
+        else:
+            found = [w for t in self.restorer.tokens(text) if (w := self.weights(t)[1 if own else 2]) > 0.7]
+        found.sort(reverse=True)
         return [found[0] if found else 0.0, sum(found[:3]), math.log1p(sum(w > 1.5 for w in found)), math.log1p(len(found))]
 
     def score(self, text: str | None) -> float:
@@ -284,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_featur
 
     got = sample.mapInPandas(evidence, "y int, x array<double>").collect()  # fit_rows short rows at most
     scorer.coef = _logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], dtype=float))
-    scorer.known = {}
+    scorer.seal()
     return scorer
 
 
