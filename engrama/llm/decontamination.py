@@ -4,11 +4,11 @@ Texts and items are lower-cased and cut into words (letters, digits, underscores
 item it is held against, and its weighted shingles are its 5-word runs (fewer words: the whole) with their multiplicity.
 Similarity is sum of minima over sum of maxima; 0.8 or more is a leak.
 
-A window without a shingle of an item has similarity 0, so only windows around shared shingles are fingerprinted: a
-shared shingle at position p of the text and q of the item gives the window at p - q, and near starts of one item are
-filled up, so that inserted and deleted words don't hide the best one. A window's 64-bit SimHash looks up items in
-`radius + 1` blocks; two fingerprints within the radius share a block (pigeonhole), and the radius of 26 lies over five
-standard deviations beyond the expected distance at similarity 0.8. What passes is verified exactly.
+A window can't be similar unless it shares 8/9 of its shingles with the item. Every window that reaches a shared shingle is
+tried: the shared shingles in it are counted, wherever they lie in the item, and only windows with fewer are left out, so
+none is lost. A window's 64-bit SimHash looks up items in `radius + 1` blocks; two fingerprints within the radius share a
+block (pigeonhole), and the radius of 26 lies over five standard deviations beyond the expected distance at similarity
+0.8. What passes is verified exactly.
 
 Items are taken in blocks of at most `block_rows`; each block is a pass over the documents, so memory is bounded by it.
 
@@ -18,6 +18,7 @@ equal are reported each; repeated documents are reported each; an empty table gi
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -96,13 +97,13 @@ class Index:
             h = (h * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F) % (1 << 64)
         return h
 
-    def starts(self, words: list[str]) -> dict[int, set[int]]:
-        """Item -> starts of the windows that share shingles with it."""
+    def starts(self, words: list[str]) -> dict[int, list[int]]:
+        """Item -> starts, in order, of all windows that share enough shingles with it to be similar."""
         import numpy as np
 
         get = self.vocab.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
-        found: dict[int, set[int]] = {}
+        hits: dict[tuple[int, int], set[int]] = {}
         for k, (keys, where) in self.by_size.items():
             if len(ids) < k:
                 continue
@@ -120,15 +121,22 @@ class Index:
             table_ = np.array(keys, dtype=np.uint64)
             spot = np.minimum(np.searchsorted(table_, h), len(table_) - 1)
             for p, s in zip(at[table_[spot] == h].tolist(), spot[table_[spot] == h].tolist()):
-                for item, q in where[s]:
-                    # a passage cut off by the text's start or end lies in the first or last window
-                    if (last := len(words) - self.items[item][1]) >= 0:
-                        found.setdefault(item, set()).add(min(max(p - q, 0), last))
-        for item, s in found.items():
-            order, near = sorted(s), self.items[item][1] // 4 + 1
-            for a, b in zip(order, order[1:]):
-                if 1 < b - a <= near:
-                    s.update(range(a + 1, b))
+                for item, _ in where[s]:
+                    hits.setdefault((item, k), set()).add(p)
+        found: dict[int, list[int]] = {}
+        for (item, k), at in hits.items():
+            size = self.items[item][1]
+            last, n = len(words) - size, size - k + 1
+            # similarity is at most c / (2n - c) for c shared shingles, so a window needs this many
+            need = max(math.ceil(2 * n * self.similar / (1 + self.similar) - 1e-9), 1)
+            if last < 0 or len(at) < need:
+                continue
+            order = np.array(sorted(at))
+            # every start from which a window reaches a shared shingle
+            tries = np.unique(np.clip((order[:, None] - np.arange(n)).ravel(), 0, last))
+            shared = np.searchsorted(order, tries + n) - np.searchsorted(order, tries)
+            if len(tries := tries[shared >= need]):
+                found[item] = tries.tolist()
         return found
 
     def leaks(self, text: str | None) -> list[tuple]:
@@ -137,7 +145,7 @@ class Index:
         for item, starts in sorted(self.starts(words).items()):
             item_id, size, bag, fp = self.items[item]
             best = None
-            for s in sorted(starts):
+            for s in starts:
                 if (s, size) not in prints:
                     own = shingles(words[s : s + size], self.k)
                     mine = fingerprint(own)

@@ -394,6 +394,22 @@ def test_decontamination(spark, odd):
     assert decontamination.leaks(d, it.limit(0)).count() == 0 and decontamination.leaks(d.limit(0), it).count() == 0
 
 
+def test_leaks_with_moved_parts():
+    """Items with parts of them in another order, inside long texts: the best of all windows, by brute force."""
+    w = text(59, 21).split()
+    items = [(1, " ".join(w)), (2, text(40, 22))]
+    index = decontamination.Index(items)
+    for moved in (w[29:] + w[:29], w[40:] + w[20:40] + w[:20], w[10:] + w[:10]):
+        words = text(100, 23).split() + moved + text(80, 24).split()
+        bag = decontamination.shingles(w)
+        sims = [decontamination.similarity(decontamination.shingles(words[s : s + 59]), bag) for s in range(len(words) - 58)]
+        best = max(sims)
+        want = [(1, sims.index(best), 59, best)] if best >= 0.8 else []
+        assert index.leaks(" ".join(words)) == want
+        assert {x[0] for x in want} == brute_leaks(" ".join(words), items)
+    assert index.leaks(" ".join(text(100, 23).split() + w[29:] + w[:29] + text(80, 24).split()))[0][1] == 100
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
