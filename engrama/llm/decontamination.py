@@ -10,6 +10,9 @@ none is lost. A window's 64-bit SimHash looks up items in `radius + 1` blocks; t
 block (pigeonhole), and the radius of 26 lies over five standard deviations beyond the expected distance at similarity
 0.8. What passes is verified exactly.
 
+With `short_texts`, as the query and the pipeline have it, a text with fewer words than an item is its one window; without,
+it holds no window of the item.
+
 Items are taken in blocks of at most `block_rows`; each block is a pass over the documents, so memory is bounded by it.
 
 Nulls and edge cases: null or blank texts and items match nothing; a null item_id is reported as null; items that are
@@ -61,8 +64,8 @@ def fingerprint(bag: Counter) -> int:
 class Index:
     """Items of one block: shingle positions, fingerprints in radius + 1 block tables, bags for the exact check."""
 
-    def __init__(self, items: list[tuple], shingle: int = SHINGLE, similar: float = SIMILAR, radius: int = RADIUS):
-        self.k, self.similar, self.radius = shingle, similar, radius
+    def __init__(self, items: list[tuple], shingle: int = SHINGLE, similar: float = SIMILAR, radius: int = RADIUS, short_texts: bool = False):
+        self.k, self.similar, self.radius, self.short_texts = shingle, similar, radius, short_texts
         self.items, self.vocab, places = [], {}, defaultdict(list)
         self.edges = [64 * i // (radius + 1) for i in range(radius + 2)]
         self.blocks = [defaultdict(set) for _ in range(radius + 1)]
@@ -126,10 +129,13 @@ class Index:
         found: dict[int, list[int]] = {}
         for (item, k), at in hits.items():
             size = self.items[item][1]
-            last, n = len(words) - size, size - k + 1
-            # similarity is at most c / (2n - c) for c shared shingles, so a window needs this many
-            need = max(math.ceil(2 * n * self.similar / (1 + self.similar) - 1e-9), 1)
-            if last < 0 or len(at) < need:
+            last, own = len(words) - size, size - k + 1
+            if last < 0 and not self.short_texts:
+                continue
+            n, last = min(size, len(words)) - k + 1, max(last, 0)
+            # similarity is at most c / (n + own - c) for c shared shingles, so a window needs this many
+            need = max(math.ceil((n + own) * self.similar / (1 + self.similar) - 1e-9), 1)
+            if len(at) < need:
                 continue
             order = np.array(sorted(at))
             # every start from which a window reaches a shared shingle
@@ -144,7 +150,7 @@ class Index:
         words, out, prints = tokens(text), [], {}
         for item, starts in sorted(self.starts(words).items()):
             item_id, size, bag, fp = self.items[item]
-            best = None
+            size, best = min(size, len(words)), None
             for s in starts:
                 if (s, size) not in prints:
                     own = shingles(words[s : s + size], self.k)
@@ -172,20 +178,20 @@ def leak_column(text: Column, index_bc) -> Column:
     return run(text)
 
 
-def item_blocks(items: DataFrame, block_rows: int = 20_000):
+def item_blocks(items: DataFrame, block_rows: int = 20_000, short_texts: bool = False):
     """Indexes of about block_rows items each, as broadcast variables; duplicates of (item_id, text) count once."""
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     n = -(-items.count() // block_rows)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Index([tuple(r) for r in rows]))
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in rows], short_texts=short_texts))
 
 
-def leaks(docs: DataFrame, items: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, block_rows: int = 20_000, short_texts: bool = False) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start_word, n_words, similarity."""
     out = None
-    for bc in item_blocks(items, block_rows):
+    for bc in item_blocks(items, block_rows, short_texts):
         hit = docs.select("doc_id", leak_column(F.col("text"), bc).alias("x"))
         rows = hit.select("doc_id", F.explode(F.arrays_zip("x.items", "x.starts", "x.sizes", "x.similarities")).alias("y"))
         rows = rows.select(
@@ -198,13 +204,13 @@ def leaks(docs: DataFrame, items: DataFrame, block_rows: int = 20_000) -> DataFr
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, block_rows: int = 20_000, short_texts: bool = False) -> DataFrame:
     """docs without the rows that hold an item; columns as before."""
     out = docs
-    for bc in item_blocks(items, block_rows):
+    for bc in item_blocks(items, block_rows, short_texts):
         out = out.where(F.size(leak_column(F.col("text"), bc)["items"]) == 0)
     return out
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_texts=True)

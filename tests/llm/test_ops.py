@@ -410,6 +410,30 @@ def test_leaks_with_moved_parts():
     assert index.leaks(" ".join(text(100, 23).split() + w[29:] + w[:29] + text(80, 24).split()))[0][1] == 100
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark, tmp_path):
+    import corpus_pipeline
+
+    w = text(59, 21).split()
+    items = [(1, " ".join(w)), (2, text(16, 22)), (3, "two words")]
+    texts = [" ".join(w[:57]), " ".join(w[1:58]), " ".join(w[:40]), " ".join(w[:4]), " ".join(w[29:58] + w[:29]), text(15, 22), "two", "", None]
+    docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for i, t in enumerate(texts):
+        own = decontamination.tokens(t)
+        for item_id, it in items:
+            other = decontamination.tokens(it)
+            size = min(len(own), len(other))
+            bag = decontamination.shingles(other)
+            sim = max(decontamination.similarity(decontamination.shingles(own[s : s + size]), bag) for s in range(len(own) - size + 1))
+            if sim >= 0.8:
+                want.add((i, item_id, size, round(sim, 6)))
+    got = {(r["doc_id"], r["item_id"], r["n_words"], r["similarity"]) for r in decontamination.op10_decontamination(spark, str(tmp_path)).collect()}
+    assert got == want and {x[:2] for x in want} >= {(0, 1), (1, 1), (5, 2)}
+    left = corpus_pipeline.drop_leaks(spark, shared.table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - {x[0] for x in want}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
