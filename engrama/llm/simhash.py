@@ -124,8 +124,13 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
 
     Of repeated doc_ids with one text one row stays. Rows without doc_id can't be named and stay.
     """
+    return firsts(docs, near_duplicates(docs, **how))
+
+
+def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each component that found (doc_id, th, component_id) names, as in keep_first."""
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    gone = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     gone = stage(gone, "gone")
     left = docs.join(gone, (docs["doc_id"] == gone["_d"]) & (th == gone["_t"]), "left_anti")
     twice = stage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_d")), "twice")

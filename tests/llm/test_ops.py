@@ -434,6 +434,40 @@ def test_leaks_in_texts_shorter_than_the_item(spark, tmp_path):
     assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - {x[0] for x in want}
 
 
+def test_near_copies_of_the_pipeline(spark, odd):
+    """Edits at similarities around 0.8, chains and a text that only links others, against all pairs."""
+    import corpus_pipeline
+    from engrama.llm import nearcopies
+
+    base, rows = text(300, 31).split(), []
+    for i in range(24):
+        w = list(base)
+        for j in range(i // 2):
+            w[(j * 41 + i) % 300] = f"new{i}"
+        rows.append((400 + i, " ".join(w), "en", "s"))
+    for i in range(12):
+        rows.append((500 + i, " ".join(text(500, 77).split()[i * 9 : i * 9 + 200]), "en", "s"))
+    d = odd.unionByName(docs(spark, rows))
+    sets = {i: set(nearcopies.shingle_set(nearcopies.words(t)).tolist()) for i, t, _, _ in ODD + rows if i is not None}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(d).collect() if r["doc_id"] is not None}
+    assert got == {i: find(i) for i in sets}
+    kept = corpus_pipeline.drop_near_duplicates(spark, d, "")
+    assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*{str(find(i)) for i in sets}, "None"])
+    assert nearcopies.near_copies(odd.limit(0)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
