@@ -7,8 +7,8 @@ repeated, text stays a slot. Counting distinct expressions first keeps a host wi
 expressions are merged in salted parts before the parts are merged.
 
 The slots of the host's wrapper are then sorted out: a slot below a menu, header, footer, sidebar, notice, advert, form,
-script, style or comment element is none; if the wrapper has slots below `article` or `main`, those are the main
-text; else all other slots whose text lies in links for less than half.
+script, style or comment element is none. A page's main text is that below `article` or `main`; if the page has none
+there, that of all other slots whose text lies in links for less than half. Only the wrapper's paths are used for this.
 
 Nulls and edge cases: null or empty html gives an empty text; pages without host (null url) share one wrapper; text
 outside any element is a block of the root; broken markup is closed as browsers do for paragraphs and list items,
@@ -180,12 +180,21 @@ def apart(path: str) -> bool:
     return False
 
 
+def inside(path: str) -> bool:
+    """Whether a path leads through `article` or `main`."""
+    return bool({"article", "main"} & {x.split(".")[0] for x in path.split("/")})
+
+
 def content_slots(pattern: str, linked: dict[str, float]) -> list[str]:
-    """Paths of the slots with main text. linked: share of each path's text that lies in links."""
+    """Paths of the slots that may hold main text. linked: share of each path's text that lies in links."""
     slots = list(dict.fromkeys(x for n in json.loads(pattern) for x in n[0]))
-    free = [s for s in slots if not apart(s)]
-    inner = [s for s in free if {"article", "main"} & {x.split(".")[0] for x in s.split("/")}]
-    return inner or [s for s in free if linked.get(s, 0.0) < 0.5]
+    return [s for s in slots if not apart(s) and (inside(s) or linked.get(s, 0.0) < 0.5)]
+
+
+def page_text(page: str | None, slots: set[str]) -> str:
+    """The page's text in slots inside `article` or `main`; if the page has none there, in its other slots."""
+    found = [(path, text) for path, text, _ in blocks(page) if path in slots]
+    return " ".join([t for p, t in found if inside(p)] or [t for _, t in found])
 
 
 def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
@@ -233,8 +242,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     def extract(page: pd.Series, content: pd.Series) -> pd.Series:
         out = []
         for p, c in zip(page, content):
-            slots = set(c) if c is not None else set()
-            out.append(" ".join(text for path, text, _ in blocks(p) if path in slots))
+            out.append(page_text(p, set(c) if c is not None else set()))
         return pd.Series(out, dtype=object)
 
     learned = stage(wrappers(pages), "wrappers").select(F.col("host").alias("_host"), "content")

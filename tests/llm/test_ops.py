@@ -305,6 +305,13 @@ def test_html_text(spark):
     assert htmltext.main_text(d.limit(0)).count() == 0
 
 
+def test_html_of_mixed_templates(spark):
+    """Pages without article on a host that has articles keep their text; so do pages without host."""
+    rows = [(1, "http://a.example/1", "<div><p>Around</p></div><article><p>Story</p></article>"), (2, "http://a.example/2", "<nav>m</nav><div><p>Plain page</p></div>"), (3, None, "<main><p>Inner</p></main>"), (4, None, "<p>No host</p>")]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Story", 2: "Plain page", 3: "Inner", 4: "No host"}
+
+
 def test_wrapper_alignment():
     a, b = ["nav/a", "nav/a", "h1", "p", "p", "foot"], ["nav/a", "h1", "note", "p", "foot"]
     merged = htmltext.merge([htmltext.json.dumps(htmltext.fold(x)) for x in (a, b)])
