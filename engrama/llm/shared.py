@@ -31,12 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors."""
+#: Removes the shuffle files of an execution at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, tag: str, tidy: bool = False, **options: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage and survives lost executors.
+
+    With `tidy` the shuffle files of this job are removed when it is done (a lost executor meanwhile makes Spark run the
+    stage again), so the disk holds one such job's exchange at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_stage(*frames: DataFrame) -> None:
+    """Remove the files of frames that stage() returned and nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
