@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("engrama.llm")
-from engrama.llm import components, decontamination, htmltext, lmscore, mixing, quality, sharding, shared, simhash, toxicity, urlfilter, warc  # noqa: E402
+from engrama.llm import components, decontamination, htmltext, lmjoins, lmscore, mixing, quality, sharding, shared, simhash, toxicity, urlfilter, warc  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, shard int, node long, rank int, score double"
@@ -156,17 +156,20 @@ def brute_lm(texts):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 40, "passes": 3}, {"hot": 1, "passes": 1}])
-def test_lm_scores(spark, odd, how):
+@pytest.mark.parametrize(
+    "form,how",
+    [(lmscore, {}), (lmscore, {"buckets": 4, "hot": 0.01, "chunk": 50}), (lmscore, {"per_bucket": 300, "passes": 3}), (lmjoins, {}), (lmjoins, {"hot": 40, "passes": 3})],
+)
+def test_lm_scores(spark, odd, form, how):
     extra = [(30, "the cat sat on the mat the cat sat", "en", "s"), (31, "The the THE the", "en", "s"), (32, "the cat", "en", "s")]
-    got = lmscore.score(odd.unionByName(docs(spark, extra)), **how).collect()
+    got = form.score(odd.unionByName(docs(spark, extra)), **how).collect()
     rows = ODD + extra
     want = sorted(((i, *s) for (i, _, _, _), s in zip(rows, brute_lm([t for _, t, _, _ in rows]))), key=str)
     have = sorted(((r["doc_id"], r["n_words"], r["total"]) for r in got), key=str)
     assert [x[:2] for x in have] == [x[:2] for x in want]
     assert all(abs(a[2] - b[2]) < 0.001 for a, b in zip(have, want))
     assert all(r["score"] == pytest.approx(r["total"] / max(r["n_words"], 1), abs=1e-4) for r in got)
-    assert lmscore.score(odd.limit(0)).count() == 0
+    assert form.score(odd.limit(0), **how).count() == 0
 
 
 def fill(total, caps, weights):
