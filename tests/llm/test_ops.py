@@ -318,9 +318,121 @@ def test_html_of_mixed_templates(spark):
 
 def test_wrapper_alignment():
     a, b = ["nav/a", "nav/a", "h1", "p", "p", "foot"], ["nav/a", "h1", "note", "p", "foot"]
-    merged = htmltext.merge([htmltext.json.dumps(htmltext.fold(x)) for x in (a, b)])
+    merged = htmltext.merge([htmltext.json.dumps(htmltext.fold(x)[0]) for x in (a, b)])
     assert htmltext.shown(merged) == "(<nav/a>#text)+ (<h1>#text) (<note>#text)? (<p>#text)+ (<foot>#text)"
-    assert htmltext.fold(["a", "b", "a", "b", "c"])[0] == [["a", "b"], True, False]
+    assert htmltext.fold(["a", "b", "a", "b", "c"]) == ([[["a", "b"], True, False, None], [["c"], False, False, None]], [4, 1])
+    # a group that one page repeats is the same group where it stands once
+    merged = htmltext.merge([htmltext.json.dumps(htmltext.fold(x)[0]) for x in (["h2", "p", "h2", "p", "x"], ["h2", "p", "x"])])
+    assert htmltext.shown(merged) == "(<h2>#text <p>#text)+ (<x>#text)"
+
+
+def test_irregular_pages_have_short_expressions():
+    import random
+
+    rng = random.Random(1)
+    names = ["nav/a", *[f"article/{rng.choice(['p', 'h2', 'ul/li', 'pre', 'table/tr/td'])}" for _ in range(30_000)], "footer"]
+    nodes, counts = htmltext.fold(names)
+    assert len(nodes) <= htmltext.LONG and sum(counts) == len(names)
+    assert [n[0] for n in nodes][0] == ["nav/a"] and nodes[-1][0] == ["footer"]
+    whole = htmltext.merge([htmltext.json.dumps(nodes), htmltext.json.dumps(htmltext.fold(["nav/a", "article/p", "article/h2", "footer"])[0])])
+    places = htmltext.matched(whole, htmltext.json.dumps(htmltext.fold(["nav/a", "article/p", "article/h2", "footer"])[0]))
+    assert places[0] == 0 and places[1] == places[2] > 0 and places[3] > places[2]
+
+
+def story(i, n):
+    return [f"Paragraph {j} of story {i} tells of {text(12, 100 * i + j)}." for j in range(n)]
+
+
+def template_pages(hosts=3, pages=12):
+    """(url, html, main text): each host has its own words around its stories, without telling class names."""
+    for h in range(hosts):
+        for i in range(pages):
+            paras, title = story(50 * h + i, 1 + (i * 7 + h) % 5), f"Title {h} {i}"
+            body = "".join(f"<p>{x}</p>" for x in paras)
+            if h == 0:  # no article element; the site's words stand before and after
+                page = f"<div class=x1><p>Welcome to our place on the web</p></div><div class=x2><h1>{title}</h1>{body}</div><div class=x3><p>Call us today for more</p></div>"
+                if i % 3 == 0:
+                    page = page.replace("<div class=x2>", "<div class=x4><p>Our shop is closed on Sunday, please come back later</p></div><div class=x2>")
+            elif h == 1:  # words of the site inside the article, an optional box, classes that only sound like boxes
+                extra = f"<p class=share-price>The share price of firm {i} fell by {i} percent in the course of the day.</p>" if i % 2 else ""
+                page = f"<article><h1>{title}</h1><h4>You are reading the daily paper</h4>{body}{extra}<h5>Tell your friends about us</h5><div class='related'><p><a href=/a>Other {i}</a></p></div></article>"
+                paras = paras + ([f"The share price of firm {i} fell by {i} percent in the course of the day."] if extra else [])
+            else:  # the same block twice: only its place in the page tells menu words from the story
+                page = f"<div><p>Browse the archive here</p></div><hr><h1>{title}</h1><div>{body}</div><div><p>Browse the archive here</p></div>"
+                page = page.replace("<hr>", "<h6>Sections</h6>").replace("</h1><div>", "</h1><div class=q>")
+            yield f"http://h{h}.example/{i}", f"<html><body><nav><p>Menu {i}</p></nav>{page}<footer>Foot {i}</footer></body></html>", " ".join([title, *paras])
+
+
+def test_wrappers_decide(spark):
+    cases = list(template_pages())
+    rows = [(i, u, p) for i, (u, p, _) in enumerate(cases)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(d).collect()}
+    assert got == {i: t for i, (_, _, t) in enumerate(cases)}
+    # without the host's other pages nothing tells the site's words from the story
+    alone = {r["page_id"]: r["text"] for r in htmltext.main_text(d.withColumn("url", F.concat(F.lit("http://p"), "page_id", F.lit(".example/")))).collect()}
+    assert sum(alone[i] != got[i] for i in got) > 0.9 * len(got)
+    # many expressions of one host are merged in rounds
+    assert {r["page_id"]: r["text"] for r in htmltext.main_text(d.where("url LIKE 'http://h0.%'")).collect()} == {i: got[i] for i in range(12)}
+    small_groups = {r["host"]: r["pattern"] for r in htmltext.infer(d, group=4).collect()}
+    assert set(small_groups) == {f"h{h}.example" for h in range(3)} and all(htmltext.json.loads(p) for p in small_groups.values())
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    page = "<div><h1>Same title</h1><p>The same long text on every page of the host, with little else.</p><h3>{}</h3></div>"
+    d = spark.createDataFrame([(i, "http://c.example/", page.format(i)) for i in range(9)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(d).collect()}
+    assert got == {i: f"Same title The same long text on every page of the host, with little else. {i}" for i in range(9)}
+
+
+@pytest.mark.parametrize(
+    "attrs,mark",
+    [("class='comment-list'", "!"), ("id=sidebar", "!"), ("class='share-price'", "?"), ("class='post-header related'", "?"), ("role=navigation", "!"), ("class=adSlot", "!"), ("class='ad-hoc'", "?"), ("class=story", ""), ("hidden", "!")],
+)
+def test_class_words(attrs, mark):
+    assert htmltext.label(" " + attrs)[1] == mark
+
+
+def plain_article(page):
+    """The text below <article> of a page of the test tables, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    out, part, on = [], [], []
+
+    class P(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                on.append(1)
+            elif tag not in ("b", "br"):
+                out.append("".join(part))
+                part.clear()
+            elif tag == "br":
+                part.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag != "b":
+                out.append("".join(part))
+                part.clear()
+            if tag == "article":
+                on.clear()
+
+        def handle_data(self, data):
+            if on:
+                part.append(data)
+
+    P().feed(page or "")
+    return " ".join(x for x in (" ".join(o.split()) for o in [*out, "".join(part)]) if x)
+
+
+def test_html_against_the_standard_parser(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in htmltext.op6_html_extraction(spark, sf).collect()}
+    assert got == {i: plain_article(p) for i, p in pages.items()}
 
 
 def test_warc_round_trip(spark, tmp_path):
