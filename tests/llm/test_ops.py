@@ -189,19 +189,67 @@ def fill(total, caps, weights):
     return got
 
 
+LEAF = "domain string, lang string, source string, tokens long"
+
+
+def budgets(spark, leaves, budget, weights, epochs=1):
+    found = mixing.leaf_budgets(spark.createDataFrame(leaves, LEAF), budget, weights, epochs).collect()
+    assert len(found) == len(leaves)
+    return {(r["domain"], r["lang"], r["source"]): r["budget"] for r in found}
+
+
+def filled(leaves, budget, weights):
+    """Budgets as fractions, level by level, by water-filling; subtrees of weight 0 can give nothing."""
+    w = lambda path: max(weights.get(path, 1) or 0, 0)
+    room = {}
+    for d, g, x, n in leaves:
+        if w((d, g, x)) and w((d, g)) and w((d,)):
+            for path in ((), (d,), (d, g), (d, g, x)):
+                room[path] = room.get(path, 0) + n
+    given = {(): min(budget, room.get((), 0))}
+    for depth in range(3):
+        for up in [p for p in given if len(p) == depth]:
+            kids = [p for p in room if len(p) == depth + 1 and p[:depth] == up]
+            given |= fill(given[up], {p: room[p] for p in kids}, {p: w(p) for p in kids})
+    return {(d, g, x): given.get((d, g, x), 0.0) for d, g, x, _ in leaves}
+
+
 def test_budgets_go_to_siblings_first(spark):
-    leaves = spark.createDataFrame([("core", "en", "a", 100), ("core", "en", "b", 1000), ("core", "de", "a", 50), ("extra", "en", "c", 5000)], "domain string, lang string, source string, tokens long")
-    got = {(r["domain"], r["lang"], r["source"]): r["budget"] for r in mixing.leaf_budgets(leaves, 1200, {"core": 1, "extra": 1}).collect()}
-    top = fill(1200, {"core": 1150, "extra": 5000}, {"core": 1, "extra": 1})
-    lang = fill(top["core"], {"en": 1100, "de": 50}, {"en": 1, "de": 1})
-    leaf = fill(lang["en"], {"a": 100, "b": 1000}, {"a": 1, "b": 1})
-    assert got == {("core", "en", "a"): int(leaf["a"]), ("core", "en", "b"): int(leaf["b"]), ("core", "de", "a"): 50, ("extra", "en", "c"): 600}
+    leaves = [("core", "en", "a", 100), ("core", "en", "b", 1000), ("core", "de", "a", 50), ("extra", "en", "c", 5000)]
+    got = budgets(spark, leaves, 1200, {"core": 1, "extra": 1})
+    want = filled(leaves, 1200, {("core",): 1, ("extra",): 1})
+    assert got == {k: int(v) for k, v in want.items()} and got["core", "de", "a"] == 50 and got["extra", "en", "c"] == 600
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [{("core", "en", "z"): 0}, {("zz",): 0}, {("core",): None, ("core", "en"): 5}, {("core", "de"): -1, ("extra",): 0.3}, {("extra", "en", "c"): 0, ("extra", "en"): 0}, {("core", "en/x"): 7, ("extra",): float("nan")}],
+)
+def test_odd_weights(spark, weights):
+    """Weights of 0, null, below 0 and not a number, subtrees without any weight, and names with /."""
+    leaves = [("core", "en", "a", 101), ("core", "en", "z", 999), ("core", "en/x", "y", 77), ("core", "en", "x/y", 88), ("extra", "en", "c", 500), ("zz", "", "", 300), ("core", "de", "a", 13)]
+    nan = {k: 0 if v is not None and v != v else v for k, v in weights.items()}
+    for budget in (7, 333, 1200, 10**6):
+        got, want = budgets(spark, leaves, budget, weights), filled(leaves, budget, nan)
+        assert sum(got.values()) == round(sum(want.values()))
+        # each of the three levels rounds by less than a token
+        assert all(abs(got[k] - want[k]) < 3 and (want[k] > 0 or got[k] == 0) for k in got)
+
+
+def test_no_weight_at_all(spark):
+    assert set(budgets(spark, [("core", "en", "a", 10), ("extra", "en", "a", 10)], 10, {"core": 0, "extra": 0}).values()) == {0}
+
+
+def test_names_with_slashes_come_out_once(spark):
+    d = docs(spark, [(i, text(9, i), *(("en/x", "y") if i % 2 else ("en", "x/y"))) for i in range(40)])
+    got = [(r["doc_id"], r["lang"]) for r in mixing.mix(d, {("extra", "en/x"): 3}, budget=0.5).collect()]
+    assert len(got) == len(set(got)) and sum(1 for _, g in got if g == "en/x") in (15, 14)
 
 
 def test_mix_takes_prefixes_of_seeded_epochs(spark, odd):
     rows = [(100 + i, text(5 + i % 7, i + 1), "en" if i % 3 else "de", f"src{i % 4 + (8 if i % 5 else 0)}") for i in range(300)]
     d = odd.unionByName(docs(spark, rows))
-    got = mixing.mix(d, mixing.WEIGHTS, budget=0.6, max_epochs=3, bucket_bits=3).collect()
+    got = mixing.mix(d, mixing.WEIGHTS, budget=0.6, max_epochs=3, levels=2, bits=2).collect()
     supply = defaultdict(list)
     for i, t, lang, src in ODD + rows:
         if n := len(WORDS.findall(t or "")):
