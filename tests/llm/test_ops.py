@@ -71,14 +71,45 @@ def test_binomial(spark, k, n, p):
     assert got == pytest.approx(want, rel=1e-8)
 
 
+TRIALS = "text_key string, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base boolean, quality int"
+
+
+def key_of(x):
+    return hashlib.md5(str(x).encode()).hexdigest()
+
+
 def test_cutoffs_are_certified(spark):
-    """3000 clean and 300 junk documents: the symbol rule is certified and loses no more than allowed."""
-    rows = [(i, "en", 100, 500, 80 if i % 11 == 0 else i % 2, 0, 0, False, 0 if i % 11 == 0 else 1) for i in range(6000)]
-    df = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base boolean, quality int")
-    cut = quality.certified_cutoffs(df, "lang").first()
+    """Clean and junk documents: the symbol rule is certified and loses no more than allowed, also with few documents."""
+    rows = [(key_of(i), "en", 100, 500, 80 if i % 11 == 0 else i % 2, 0, 0, False, 0 if i % 11 == 0 else 1) for i in range(400)]
+    cut = quality.certified_cutoffs(spark.createDataFrame(rows, TRIALS), "lang").first()
     assert 0.02 < cut["cut_symbols"] <= 0.8 and cut["cut_repeats"] is None
-    few = quality.certified_cutoffs(df.limit(40), "lang").collect()
-    assert not few or few[0]["cut_symbols"] is None
+    few = quality.certified_cutoffs(spark.createDataFrame(rows[:60], TRIALS), "lang").collect()
+    assert not few
+    with pytest.raises(ValueError):
+        quality.certified_cutoffs(spark.createDataFrame(rows, TRIALS), "lang", rules={"a": ("n_words", [1.0]), "b": ("n_words", [1.0, 2.0])})
+
+
+def test_copies_are_one_trial(spark):
+    """70 texts, however often repeated, aren't enough for a cutoff."""
+    rows = [(key_of(i % 70), "en", 100, 500, 80 if i % 70 % 7 == 0 else 0, 0, 0, False, int(i % 70 % 7 > 0)) for i in range(7000)]
+    assert not quality.certified_cutoffs(spark.createDataFrame(rows, TRIALS), "lang").collect()
+
+
+def test_false_rejections_are_rare(spark):
+    """200 languages with the same odds, of which some will look better than they are by chance: of all, at most a tenth may lose
+    more than alpha of their good documents to certified rules, with documents repeated up to nine times."""
+    import random
+
+    rng, rows = random.Random(11), []
+    for s in range(200):
+        for i in range(300):
+            good = rng.random() < 0.8
+            # any symbol cutoff at or below 0.5 loses 8 % of the good ones
+            n = 60 if not good or rng.random() < 0.08 else 0
+            rows += [(key_of((s, i)), f"l{s:03d}", 100, 500, n, 0, 0, False, int(good))] * rng.choice([1, 1, 1, 9])
+    wrong = quality.certified_cutoffs(spark.createDataFrame(rows, TRIALS), "lang", delta=0.1 * 200).where("cut_symbols <= 0.5").count()
+    # delta times strata is the level of each stratum here: 0.1
+    assert wrong <= 0.1 * 200
 
 
 def brute_components(fps):
