@@ -4,6 +4,9 @@ A fingerprint has 64 bits. Two that differ in at most `radius` bits agree wholly
 `blocks` blocks, so each fingerprint is keyed by every choice of that many blocks, pairs of one key are compared, and
 no pair within the radius is missed. Equal fingerprints are one node from the start, so copies cost nothing.
 
+The number of blocks follows the number of fingerprints, so that keys stay selective: 5 (keys of 25 or 26 bits) up to 2^30
+fingerprints, 6 (32 bits) up to 2^37, else 7 (36 or 37 bits).
+
 A key that holds more than `crowd` different fingerprints is not compared pair by pair. There, two fingerprints differ
 in at most `radius` = 3 of the unkeyed bits if and only if some value lies at most 1 bit from one and at most 2 bits
 from the other; so every member is linked to the values within 2 bits, and all members around a value to the smallest
@@ -64,6 +67,10 @@ def block_masks(blocks: int = 5, radius: int = 3, bits: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in whole]
 
 
+def blocks_for(n: int, radius: int = 3) -> int:
+    return radius + (2 if n <= 1 << 30 else 3 if n <= 1 << 37 else 4)
+
+
 def hamming_links(nodes: DataFrame, blocks: int = 5, radius: int = 3, crowd: int = 1024) -> DataFrame:
     """nodes: distinct longs `fp`. Gives links (a, b) whose components are those of all pairs within the radius; every
     pair itself, but in keys with over `crowd` members, where links go through hubs (radius 3 only)."""
@@ -106,17 +113,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, blocks: int = 5, radius: int = 3, crowd: int = 1024) -> DataFrame:
-    """doc_id, th, fp, component_id, n_links (links of the fingerprint to other fingerprints) for every row of docs."""
+def near_duplicates(docs: DataFrame, shingle: int = 3, blocks: int | None = None, radius: int = 3, crowd: int = 1024) -> DataFrame:
+    """doc_id, th, fp, component_id for every row of docs."""
     rows = stage(fingerprints(docs, shingle=shingle), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    links = stage(hamming_links(nodes, blocks, radius, crowd), "near")
-    degree = links.select(F.col("a").alias("fp")).union(links.select("b")).groupBy("fp").agg(F.count("*").alias("n_links"))
+    links = stage(hamming_links(nodes, blocks or blocks_for(nodes.count(), radius), radius, crowd), "near")
     roots = components(links).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = stage(named.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return rows.join(of, "fp").select(F.col("id").alias("doc_id"), "th", "fp", "component_id", "n_links")
+    of = stage(named.join(least, "root").select("fp", "component_id"), "classes")
+    return rows.join(of, "fp").select(F.col("id").alias("doc_id"), "th", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
@@ -142,4 +148,4 @@ def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
