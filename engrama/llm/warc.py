@@ -2,8 +2,10 @@
 
 `write` puts one gzip member per page into archives (one or more per task, rotated by size), as response or revisit
 record, and gives the index lines. `build_index` sorts the lines by reversed-host url key into compressed blocks of
-`lines` lines and keeps one directory row per block (first key, file, offset, length). `lookup` binary-searches the
-directory, range-reads one or more blocks and then the records; `read_all` does so for every block.
+`per_block` lines and keeps one directory row per block (first and last key, file, offset, length). `find` binary-searches the
+directory for url keys, which gives the blocks that may hold them, reads each of these blocks once, and then the ranges of
+the archives that hold the records; the query finds all pages that way. The directory goes to the tasks in parts of at most
+`max_blocks` rows, each a pass over the keys; `read_all` reads every block without keys.
 
 Files are written by the executors to the folder given, which all must share, under names that hold the task attempt;
 index lines come from successful attempts only, so repeated attempts leave files that nothing refers to.
@@ -21,13 +23,13 @@ import io
 import re
 import uuid
 from bisect import bisect_right
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrama.llm.shared import shared_dir, small, stage, table
+from engrama.llm.shared import ranked, shared_dir, small, stage, table
 from engrama.llm.urlfilter import split_url
 
 LEAST = 1000
@@ -96,7 +98,9 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.sha1(body).alias("digest"), F.when(F.octet_length(body) >= least, F.sha2(body, 256)).alias("_same"))
     copies = rows.where("_same IS NOT NULL").groupBy("_same").agg(F.max("page_id").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = stage(copies.withColumnRenamed("_same", "_k"), "copies")
-    out = rows.join(small(copies, 100_000), F.col("_same") == F.col("_k"), "left")
+    # rows without _same have keys of their own, so that they don't meet in one task
+    own = F.coalesce("_same", F.concat_ws(":", F.lit("none"), F.col("page_id").cast("string"), F.col("digest")))
+    out = rows.join(small(copies, 100_000), own == F.col("_k"), "left")
     other = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return out.select("page_id", "url", "html", "digest", F.when(other, F.col("_first")).alias("refers_to"))
 
@@ -183,14 +187,14 @@ def _block(files, path: str, name: str, offset: int, length: int) -> list[list[s
 
 
 def _records(files, path: str, lines):
-    """Parsed records of index lines, each archive opened once and read in order of offsets."""
+    """Index lines with their parsed records, each archive opened once and read in order of offsets."""
     by_file: dict[str, list] = {}
     for x in lines:
-        by_file.setdefault(x[2], []).append((int(x[3]), int(x[4])))
-    for name, spans in sorted(by_file.items()):
+        by_file.setdefault(x[2], []).append(x)
+    for name, own in sorted(by_file.items()):
         with files.open_input_file(f"{path}/{name}") as h:
-            for offset, length in sorted(spans):
-                yield parse(_range(h, offset, length))
+            for x in sorted(own, key=lambda x: int(x[3])):
+                yield x, parse(_range(h, int(x[3]), int(x[4])))
 
 
 FACTS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -209,8 +213,8 @@ def read_all(directory: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for f, o, s in zip(b["file"], b["offset"], b["length"]):
                 found = []
-                for x in _records(files, path, _block(files, path, f, o, s)):
-                    found.append({k: x[k] for k in FACTS})
+                for _, r in _records(files, path, _block(files, path, f, o, s)):
+                    found.append({k: r[k] for k in FACTS})
                 yield _frame(found, [])
 
     n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -218,32 +222,72 @@ def read_all(directory: DataFrame, folder: str) -> DataFrame:
     return directory.repartition(n, "file", "offset").mapInPandas(run, schema)
 
 
-def lookup(directory: DataFrame, folder: str, urls: DataFrame, max_blocks: int = 1_000_000) -> DataFrame:
-    """Records of the urls (column url): binary search in the directory, then range reads. Adds url and the payload (null for revisits).
-
-    The directory holds one short row per block; above max_blocks rows it isn't sent out and an error says so."""
-    if directory.limit(max_blocks + 1).count() > max_blocks:
-        raise ValueError(f"the directory has over {max_blocks} blocks; raise per_block")
-    rows = sorted((r["first"], r["last"], r["file"], r["offset"], r["length"]) for r in directory.collect())
-    bc = directory.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches):
+def _parts(directory: DataFrame, max_blocks: int):
+    """The directory in key order, in lists of at most max_blocks rows."""
+    n = directory.count()
+    if n <= max_blocks:
+        yield directory.collect()
+        return
+    numbered = stage(ranked(directory.withColumn("_one", F.lit(0)), "_one", ["first", "file", "offset"], "directory"), "directory")
+    for k in range(-(-n // max_blocks)):
+        yield numbered.where((F.col("rank") >= k * max_blocks) & (F.col("rank") < (k + 1) * max_blocks)).collect()
+
+
+def find(directory: DataFrame, folder: str, keys: DataFrame, max_blocks: int = 1_000_000, payloads: bool = True) -> DataFrame:
+    """The records of all url keys (column key): page_id, payload_bytes, payload_digest, record_type, refers_to, key and, if
+    wanted, payload (null for revisits)."""
+    extra = ["key", "payload"] if payloads else ["key"]
+    spark, asked = directory.sparkSession, keys.select("key").distinct()
+    places = None
+    for part in _parts(directory, max_blocks):
+        # firsts ascend and so do lasts, as the blocks are in key order
+        rows = sorted((r["first"], r["last"], r["file"], r["offset"], r["length"]) for r in part)
+        bc = spark.sparkContext.broadcast(rows)
+
+        def search(batches, bc=bc):
+            firsts = [r[0] for r in bc.value]
+            for b in batches:
+                out = []
+                for key in b["key"]:
+                    i = bisect_right(firsts, key) - 1
+                    while i >= 0 and bc.value[i][1] >= key:
+                        out.append((key, *bc.value[i][2:]))
+                        i -= 1
+                yield pd.DataFrame(out, columns=["key", "file", "offset", "length"])
+
+        got = asked.mapInPandas(search, "key string, file string, offset long, length long")
+        places = got if places is None else places.union(got)
+
+    def read(batches):
         files, path = _filesystem(folder)
-        firsts = [r[0] for r in bc.value]
+        blocks: dict[tuple, set] = {}
         for b in batches:
-            found = []
-            for url in b["url"]:
-                key = url_key(url)
-                i = bisect_right(firsts, key) - 1
-                lines = []
-                while i >= 0 and bc.value[i][1] >= key:
-                    lines += [x for x in _block(files, path, *bc.value[i][2:]) if x[0] == quote(key, safe="/:=&?~,;)")]
-                    i -= 1
-                found += [x | {"url": url} for x in _records(files, path, lines)]
-            yield _frame(found, ["url", "payload"])
+            for k, f, o, s in zip(b["key"], b["file"], b["offset"], b["length"]):
+                blocks.setdefault((f, o, s), set()).add(k)
+        for place, wanted in sorted(blocks.items()):
+            lines = [x for x in _block(files, path, *place) if unquote(x[0]) in wanted]
+            for i in range(0, len(lines), 200):
+                found = [r | {"key": unquote(x[0])} for x, r in _records(files, path, lines[i : i + 200])]
+                yield _frame(found, extra)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, key string" + ", payload binary" * payloads
+    return places.repartition(n, "file", "offset").mapInPandas(read, schema)
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return urls.select("url").where("url IS NOT NULL").distinct().mapInPandas(run, schema)
+
+def key_of(url: str):
+    @F.pandas_udf("string")
+    def run(u: pd.Series) -> pd.Series:
+        return pd.Series([url_key(x) for x in u], dtype=object)
+
+    return run(url)
+
+
+def lookup(directory: DataFrame, folder: str, urls: DataFrame, max_blocks: int = 1_000_000) -> DataFrame:
+    """Records of the urls (column url; null urls are skipped), found by their keys, with the url."""
+    asked = stage(urls.select("url").where("url IS NOT NULL").distinct().withColumn("key", key_of("url")), "urls")
+    found = find(directory, folder, asked, max_blocks)
+    return found.join(asked, "key").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")
 
 
 def archive(pages: DataFrame, folder: str) -> DataFrame:
@@ -253,7 +297,9 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    return read_all(archive(table(spark, sf_dir, "pages"), folder), folder)
+    pages = table(spark, sf_dir, "pages")
+    directory = archive(pages, folder)
+    return find(directory, folder, pages.select(key_of("url").alias("key")), payloads=False).drop("key")
 
 
 OP7_SQL = """WITH a AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
