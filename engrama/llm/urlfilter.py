@@ -8,9 +8,12 @@ Rules without a whole literal token are candidates of every url.
 Domain rules first: of those that fit, the longest host + path wins, allow or block. Otherwise the patterns decide:
 an exception pattern (`@@`) allows, else a blocking pattern blocks, else the url is allowed.
 
+Tokens are runs of ASCII letters and digits, without regard to case; hosts and patterns don't regard the case of A-Z, path
+prefixes do.
+
 Nulls and edge cases: a null url or one without `://` has an empty host and path, no rule fits and it is allowed unless a
-pattern fits it; of rules that are equally long the first listed wins; rows are judged one by one, so repeated rows,
-null page_ids and other columns don't matter; an empty table gives no rows.
+pattern fits it; of rules that are equally long the first listed wins; very long urls are read whole; rows are
+judged one by one, so repeated rows, null page_ids and other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from engrama.llm.shared import table
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 PATTERNS = ["||spam-farm.", "||cheap-pills.", "/casino/*", "*-casino.*", "/adserver^", "||tracker.", "/viagra", "@@||spam-farm.example.net/docs/"]
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-TOKEN = re.compile(r"[^\W_]+")
+TOKEN = re.compile(r"[0-9A-Za-z]+")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -47,18 +50,19 @@ class RuleIndex:
         self.rules = []  # (kind, name, regex, verdict, length)
         tokens = []
         for verdict, host, path in rules:
+            host = host.translate(ASCII_LOWER)
             # host label boundary, then the path from its start; matched against host + "\n" + path
             self.rules.append(("domain", host + path, re.compile(rf"(?:^|\.){re.escape(host)}\n{re.escape(path)}"), verdict, len(host + path)))
             # the last token of the path may go on in the url, so it is no whole token
             whole = path[: path.rfind("/") + 1]
-            tokens.append(set(TOKEN.findall(host)) | set(TOKEN.findall(whole)))
+            tokens.append({t.lower() for t in TOKEN.findall(f"{host} {whole}")})
         for p in patterns:
             body = p.removeprefix("@@")
             at_label = body.startswith("||")
             core = body[2:] if at_label else body
             rx = re.escape(core).replace(r"\*", ".*").replace(r"\^", r"(?:[^\w.%-]|$)")
             rx = rf"^[^:]*://(?:[^/?#]*\.)?{rx}" if at_label else rx
-            self.rules.append(("pattern", p, re.compile(rx, re.I), "allow" if p.startswith("@@") else "block", len(core)))
+            self.rules.append(("pattern", p, re.compile(rx, re.I | re.A), "allow" if p.startswith("@@") else "block", len(core)))
             # tokens at the pattern's ends, or beside a wildcard, may go on in the url
             guarded = ("." if at_label else "a") + core + "a"
             tokens.append({m[0].lower() for m in TOKEN.finditer(guarded) if 0 < m.start() and m.end() < len(guarded) and "*" not in (guarded[m.start() - 1], guarded[m.end()])})
@@ -72,7 +76,7 @@ class RuleIndex:
 
     def candidates(self, url: str) -> list[int]:
         found = set(self.always)
-        for t in set(TOKEN.findall(url.lower())):
+        for t in {t.lower() for t in TOKEN.findall(url)}:
             found.update(self.by_token.get(t, ()))
         return sorted(found)
 
