@@ -331,6 +331,21 @@ def test_sharding(spark, odd):
     assert len({r["shard"] for r in sharding.shard_documents(odd.limit(3), 8).collect()}) == 3
 
 
+def test_shards_go_by_content(spark):
+    """The same rows in another order and other partitions get the same shards and slots; groups that fit stay whole."""
+    rows = [(i, f"group {i % 37}" if i % 2 else f"alone {i}", "en", "s") for i in range(600)] + [(7, "twice", "en", "s")] * 2
+    d = docs(spark, rows)
+    a, b = (sorted(map(tuple, sharding.shard_documents(x, 8).collect()), key=str) for x in (d, d.orderBy(F.desc("text")).repartition(7)))
+    assert a == b
+    where = defaultdict(Counter)
+    crc = {i: r for i, r in ((r[0], r) for r in a)}
+    for i, t, _, _ in rows:
+        where[t][crc[i][4]] += 1
+    apart = sum(n - max(c.values()) for t, c in where.items() if t.startswith("group") for n in [sum(c.values())])
+    # by a hash of doc_id alone 7/8 of the members would be apart from the rest of their group
+    assert apart < 0.1 * 300
+
+
 def test_ranked_is_gapless(spark):
     d = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 101).alias("o"), "id")
     rows = shared.ranked(d, "g", ["o", "id"], "t").collect()
@@ -534,6 +549,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want, key=str)
     found = warc.lookup(directory, folder, spark.createDataFrame([(urls[0],), ("http://none.example/",), (urls[4],)], "url string")).collect()
     assert Counter((r["page_id"], r["url"]) for r in found) == Counter((i, u) for i, u, _ in rows if u in (urls[0], urls[4]))
+    every = d.select(warc.key_of("url").alias("key"))
+    for blocks in (1_000_000, 3):  # the directory whole, and in parts
+        assert sorted((tuple(r)[:5] for r in warc.find(directory, folder, every, blocks).collect()), key=str) == sorted(want, key=str)
+    assert warc.find(directory, folder, every.limit(0)).count() == 0
+    large = spark.createDataFrame([(1, "http://l.example/", "z" * 20_000_000), (2, "http://l.example/", "z" * 20_000_000)], "page_id long, url string, html string")
+    found = warc.find(warc.archive(large, f"{folder}3"), f"{folder}3", large.select(warc.key_of("url").alias("key"))).collect()
+    assert {(r["page_id"], r["payload_bytes"], r["record_type"]) for r in found} == {(1, 20_000_000, "revisit"), (2, 20_000_000, "response")}
     empty = warc.archive(d.limit(0), f"{folder}2")
     assert warc.read_all(empty, f"{folder}2").count() == 0
 
@@ -560,6 +582,9 @@ def test_url_rules(spark):
     assert got["https://x.net/casino/1"]["verdict"] == "block" and got["https://x.net/mycasino/"]["verdict"] == "allow"
     assert urlfilter.split_url("HTTP://A.b:80/P?q") == ("a.b:80", "/P")
     assert urlfilter.judge_urls(d.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "http://example.net/ES/x"), (2, "http://Example.NET/es/x"), (3, "http://example.net/b/" + "y" * 300_000), (4, "http://x.net/ADSERVER/1"), (4, None)], "page_id long, url string")
+    rules = [("block", "Example.net", "/ES/"), ("block", "example.net", "/a/"), ("block", "example.net", "/b/")]
+    assert [r["verdict"] for r in urlfilter.judge_urls(odd, rules).collect()] == ["block", "allow", "block", "block", "allow"]
     index = urlfilter.RuleIndex()
     assert all(len(index.candidates(u or "")) < len(index.rules) for u in urls)
 
