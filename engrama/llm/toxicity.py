@@ -3,15 +3,19 @@
 Suspicious spans (letters mixed with leetspeak signs, letters set apart by spaces or dots, letters three or more times
 in a row) are character lattices: each observed character offers the letters it may stand for, its removal, or itself,
 at a channel cost. A Viterbi search picks the string with the best sum of channel and character-trigram log
-probabilities. All other tokens have one path only, themselves. The language model comes from the words of the fit rows.
+probabilities. All other tokens have one path only, themselves. The language model counts the character trigrams of the words of
+all documents (a token counts once for each document); trigrams with at least a millionth of all are kept, so the table has a
+million entries at most, whatever the corpus.
 
 Evidence is per word of the restored text: the word, its first 4 to 6 and its last 4 letters, each with the log odds of
-documents labelled toxic. Features are counted over the fit rows on the executors; `max_features` with the clearest
-difference are kept. A document's score is a logistic function of its strongest words' evidence, fitted on the same rows
-with each document's own counts taken out (leave one out).
+documents labelled toxic. Features are counted over the fit rows on the executors; those that differ by `CLEAR` standard errors
+are kept. A document's score is a logistic function of its strongest words' evidence, fitted on the same rows
+with each document's own counts taken out (leave one out). `CLEAR` and the treatment of copies were chosen by the log loss of
+cross-validation inside the fit rows (README).
 
 `fit_rows` (40,000) labelled documents at most are used for fitting, those with the smallest hash of doc_id; labels only
-decide in fitting, and only rows whose crc32(doc_id) mod 3 is not 1. All documents are scored, over whole texts.
+decide in fitting, and only rows whose crc32(doc_id) mod 3 is not 1. Fit rows with the same label and the same three min-hashes
+of 3-word shingles are copies and count once. All documents are scored, over whole texts.
 
 Nulls and edge cases: null and blank texts have no evidence and get the score of none; a null doc_id is scored, its fold
 is that of the empty text and it never matches a label; a document with several labels is toxic if one says so; null labels are ignored;
@@ -30,9 +34,11 @@ from pyspark.sql import functions as F
 
 from engrama.llm.shared import stage, table
 
-FIT_ROWS, MAX_FEATURES, LM_WORDS = 40_000, 4096, 30_000
+FIT_ROWS = 40_000
 #: A feature counts from this many standard errors between toxic and other documents.
-CLEAR = 4.0
+CLEAR = 5.0
+#: Trigrams of the language model have at least this share of all.
+RARE = 1e-6
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h"}
 EDGE = ".,;:?\"'()[]{}<>«»„“”!"
@@ -42,29 +48,47 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 DOTTED = re.compile(r"\w(?:[.\-_*~/]+\w){3,}")
 
 
+def readings(c: str, last: str) -> list[tuple[str, float]]:
+    """What a character after `last` may stand for, with the channel's log weight."""
+    if c in LEET:
+        return [(x, -0.5) for x in LEET[c]] + [("", -4.0)]
+    if LETTERS.match(c):
+        return [(c, -0.1)] + ([("", -0.7)] if c == last else [])
+    if c.isspace() or c in ".-_*~/'":
+        return [("", -0.3), (" ", -1.5)]
+    return [("", -0.5)]
+
+
+def word_trigrams(words: dict[str, int]) -> Counter:
+    """Character trigrams over words; a space is the word's edge, two stand before it."""
+    found: Counter = Counter()
+    for w, n in words.items():
+        s = f"  {w} "
+        for i in range(2, len(s)):
+            found[s[i - 2 : i + 1]] += n
+    return found
+
+
 class CharModel:
     """Interpolated character trigrams over words; a space is the word's edge."""
 
-    def __init__(self, words: dict[str, int]):
-        tri, bi, uni = Counter(), Counter(), Counter()
-        for w, n in words.items():
-            s, n = f"  {w} ", 1 + math.log(max(n, 1))
-            for i in range(2, len(s)):
-                tri[s[i - 2 : i + 1]] += n
-                bi[s[i - 1 : i + 1]] += n
-                uni[s[i]] += n
-        self.tri, self.bi, self.uni = dict(tri), dict(bi), dict(uni)
-        self.ctx2, self.ctx1 = Counter(), Counter()
-        for k, n in tri.items():
+    def __init__(self, trigrams: dict[str, int]):
+        self.tri = dict(trigrams)
+        # every trigram ends where a bigram and a letter end, so their counts follow
+        self.bi, self.uni, self.ctx2, self.ctx1 = Counter(), Counter(), Counter(), Counter()
+        for k, n in self.tri.items():
+            self.bi[k[1:]] += n
+            self.uni[k[2]] += n
             self.ctx2[k[:2]] += n
-        for k, n in bi.items():
-            self.ctx1[k[0]] += n
-        self.total = sum(uni.values()) + 1
+            self.ctx1[k[1]] += n
+        self.total = sum(self.uni.values()) + 1
         self.kept: dict[str, float] = {}
 
     def logp(self, a: str, b: str, c: str) -> float:
         k = a + b + c
         if k not in self.kept:
+            if len(self.kept) >= 500_000:
+                self.kept.clear()
             p3 = self.tri.get(k, 0) / (self.ctx2.get(a + b, 0) or 1)
             p2 = self.bi.get(b + c, 0) / (self.ctx1.get(b, 0) or 1)
             p1 = (self.uni.get(c, 0) + 0.01) / self.total
@@ -76,14 +100,7 @@ class CharModel:
         beam = {(" ", " "): (0.0, None, "")}
         last = ""
         for c in span:
-            if c in LEET:
-                ways = [(x, -0.5) for x in LEET[c]] + [("", -4.0)]
-            elif LETTERS.match(c):
-                ways = [(c, -0.1)] + ([("", -0.7)] if c == last else [])
-            elif c.isspace() or c in ".-_*~/'":
-                ways = [("", -0.3), (" ", -1.5)]
-            else:
-                ways = [("", -0.5)]
+            ways = readings(c, last)
             new: dict[tuple, tuple] = {}
             for (a, b), node in beam.items():
                 for x, cost in ways:
@@ -164,11 +181,12 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
 
 def one_of_copies(sample: DataFrame) -> DataFrame:
-    """One row of those with the same label and the same least 3-word shingle, so that copies don't pass for evidence."""
+    """One row of those with the same label and the same three min-hashes of 3-word shingles, so that copies don't pass for evidence."""
     w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "")
-    least = F.expr("CASE WHEN size(_w) < 3 THEN xxhash64(array_join(_w, ' ')) ELSE array_min(transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2]))) END")
-    keyed = sample.withColumn("_w", w).select("text", "toxic", least.alias("_least"))
-    return keyed.groupBy("toxic", "_least").agg(F.min("text").alias("text")).select("text", "toxic")
+    hashes = F.expr("CASE WHEN size(_w) < 3 THEN array(xxhash64(array_join(_w, ' '))) ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END")
+    least = [F.expr(f"array_min(transform(_h, x -> xxhash64(x, {i})))").alias(f"_m{i}") for i in range(3)]
+    keyed = sample.withColumn("_w", w).withColumn("_h", hashes).select("text", "toxic", *least)
+    return keyed.groupBy("toxic", "_m0", "_m1", "_m2").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def held_out(doc_id):
@@ -264,24 +282,43 @@ def _pieces(columns: list[str], rows, size: int = 20_000):
         yield pd.DataFrame({c: pd.Series([r[k] for r in part], dtype="int64" if k else object) for k, c in enumerate(columns)})
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_features: int = MAX_FEATURES) -> Scorer:
-    import numpy as np
+def language_model(docs: DataFrame, rare: float = RARE) -> CharModel:
+    """Character trigrams of the words of all documents."""
 
-    sc = docs.sparkSession.sparkContext
-    sample = stage(one_of_copies(fit_sample(docs, labels, fit_rows)), "toxic_fit")
+    def count(batches):
+        seen, found = Counter(), Counter()
+
+        def take():
+            words: Counter = Counter()
+            for token, n in seen.items():
+                if not suspicious(token):
+                    for w in LETTERS.findall(token):
+                        words[w] += n
+            seen.clear()
+            found.update(word_trigrams(words))
 
-    def count_words(batches):
-        seen = Counter()
         for b in batches:
             for t in b["text"]:
-                seen.update({w for x in set((t or "").lower().split()) if not suspicious(x) for w in LETTERS.findall(x)})
-            if len(seen) > 500_000:
-                yield from _pieces(["word", "n"], seen.items())
-                seen.clear()
-        yield from _pieces(["word", "n"], seen.items())
+                seen.update(set((t or "").lower().split()))
+                if len(seen) > 300_000:
+                    take()
+                if len(found) > 2_000_000:
+                    yield from _pieces(["tri", "n"], found.items())
+                    found.clear()
+        take()
+        yield from _pieces(["tri", "n"], found.items())
+
+    counts = stage(docs.select("text").mapInPandas(count, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n")), "trigrams")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return CharModel({r["tri"]: r["n"] for r in counts.where(F.col("n") >= F.lit(total * rare)).collect()})  # 1 / rare rows at most
 
-    words = sample.select("text").mapInPandas(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    restorer = Restorer(CharModel({r["word"]: r["n"] for r in words.orderBy(F.desc("n"), "word").limit(LM_WORDS).collect()}))
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clear: float = CLEAR) -> Scorer:
+    import numpy as np
+
+    sc = docs.sparkSession.sparkContext
+    sample = stage(one_of_copies(fit_sample(docs, labels, fit_rows)), "toxic_fit")
+    restorer = Restorer(language_model(docs))
     bc = sc.broadcast(restorer)
 
     def count_features(batches):
@@ -303,8 +340,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_featur
     counts = sample.mapInPandas(count_features, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     p = (F.col("t") + F.col("n")) / (toxic + other)
     z = (F.col("t") / toxic - F.col("n") / other) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / other) + 1e-12)
-    best = counts.where("t + n >= 3").withColumn("z", z).where(F.col("z") >= CLEAR).orderBy(F.desc("z"), "f").limit(max_features)
-    scorer.counts = {r["f"]: (r["t"], r["n"]) for r in best.collect()}
+    best = counts.where("t + n >= 3").withColumn("z", z).where(F.col("z") >= clear)
+    scorer.counts = {r["f"]: (r["t"], r["n"]) for r in best.collect()}  # features of the fit rows at most
     bc2 = sc.broadcast(scorer)
 
     def evidence(batches):

@@ -375,6 +375,49 @@ def test_deobfuscation(scorer, seen, plain):
     assert scorer.restorer.text(f"quiet {seen} river") == f"quiet {plain} river"
 
 
+def every_reading(model, span):
+    """All strings a span may stand for, with their scores."""
+    found = {(" ", " ", ""): 0.0}
+    last = ""
+    for c in span:
+        new = {}
+        for (a, b, out), score in found.items():
+            for x, cost in toxicity.readings(c, last):
+                if x == " " and b == " ":
+                    continue
+                key = (a, b, out) if not x else (" ", " ", out + x) if x == " " else (b, x, out + x)
+                value = score + cost + (model.logp(a, b, x) if x else 0.0)
+                new[key] = max(new.get(key, -math.inf), value)
+        found, last = new, c
+    best = {}
+    for (a, b, out), score in found.items():
+        best[out.strip()] = max(best.get(out.strip(), -math.inf), score + model.logp(a, b, " "))
+    return best
+
+
+def test_decoding_against_all_readings():
+    """Viterbi's string has the best score of all strings that the lattice holds."""
+    import random
+
+    rng = random.Random(7)
+    words = {"idiot": 9, "stupid": 7, "garden": 30, "ill": 3, "the": 90, "toll": 5, "bad": 4}
+    model = toxicity.CharModel(toxicity.word_trigrams(words))
+    for _ in range(300):
+        span = "".join(rng.choice("ab1d0t5iil!$3. *e-7@") for _ in range(rng.randint(1, 7)))
+        scores = every_reading(model, span)
+        assert scores[model.decode(span)] == pytest.approx(max(scores.values()), abs=1e-9), span
+
+
+def test_language_model_counts_all_documents(spark, odd):
+    model = toxicity.language_model(odd, rare=0.0)
+    seen = Counter()
+    for _, t, _, _ in ODD:
+        seen.update([w for x in set((t or "").lower().split()) if not toxicity.suspicious(x) for w in toxicity.LETTERS.findall(x)])
+    assert sum(model.uni.values()) == sum(n * (len(w) + 1) for w, n in seen.items())
+    assert all(model.tri[k] == n for k, n in toxicity.word_trigrams(seen).items())
+    assert not toxicity.language_model(odd.limit(0)).tri
+
+
 def test_toxicity_scores(spark, scorer, odd, labels):
     clean, bad = " ".join(PROSE * 3), " ".join([*PROSE, "1d10t", *PROSE, "s t u p i d", *PROSE])
     assert scorer.score(bad) >= 0.7 > 0.3 > scorer.score(clean)
