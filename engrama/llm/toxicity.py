@@ -4,7 +4,7 @@ Suspicious spans (letters mixed with leetspeak signs, letters set apart by space
 in a row) are character lattices: each observed character offers the letters it may stand for, its removal, or itself,
 at a channel cost. A Viterbi search picks the string with the best sum of channel and character-trigram log
 probabilities. All other tokens have one path only, themselves. The language model counts the character trigrams of the words of
-all documents (a token counts once for each document); trigrams with at least a millionth of all are kept, so the table has a
+all documents; trigrams with at least a millionth of all are kept, so the table has a
 million entries at most, whatever the corpus.
 
 Evidence is per word of the restored text: the word, its first 4 to 6 and its last 4 letters, each with the log odds of
@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,14 +60,50 @@ def readings(c: str, last: str) -> list[tuple[str, float]]:
     return [("", -0.5)]
 
 
-def word_trigrams(words: dict[str, int]) -> Counter:
-    """Character trigrams over words; a space is the word's edge, two stand before it."""
-    found: Counter = Counter()
-    for w, n in words.items():
-        s = f"  {w} "
-        for i in range(2, len(s)):
-            found[s[i - 2 : i + 1]] += n
-    return found
+@lru_cache(1)
+def _letters():
+    """For each code point whether it is a letter, as in LETTERS, and whether it is a sign that stands for one."""
+    import numpy as np
+
+    letter = np.array([LETTERS.match(chr(c)) is not None for c in range(0x110000)])
+    sign = np.zeros(0x110000, dtype=bool)
+    sign[[ord(c) for c in LEET]] = True
+    return letter, sign
+
+
+def text_trigrams(text: str) -> Counter:
+    """Character trigrams of the words (runs of letters) of a lower-case text; a space is the word's edge, two stand before it.
+    Tokens with a sign in front of a letter or with a letter three times in a row are left out: they may be disguised."""
+    import numpy as np
+
+    if not text:
+        return Counter()
+    letter, sign = _letters()
+    raw = np.frombuffer(f"  {text} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    is_letter = letter[raw]
+    odd = np.zeros(len(raw), dtype=bool)
+    odd[:-1] = sign[raw[:-1]] & is_letter[1:]
+    odd[:-2] |= is_letter[:-2] & (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:])
+    if odd.any():
+        token = np.cumsum(raw <= 32)
+        left_out = np.zeros(token[-1] + 1, dtype=bool)
+        left_out[token[odd]] = True
+        is_letter &= ~left_out[token]
+    here = np.flatnonzero(np.bincount(raw[is_letter], minlength=1))
+    k = len(here) + 1
+    number = np.zeros(0x110000, dtype=np.int64)
+    number[here] = np.arange(1, k)
+    x = np.where(is_letter, number[raw], 0)
+    before = np.where(x[1:-1] > 0, x[:-2], 0)
+    code = ((before * k + x[1:-1]) * k + x[2:])[(x[2:] > 0) | (x[1:-1] > 0)]
+    if k**3 <= 1 << 23:
+        sums = np.bincount(code)
+        found = np.flatnonzero(sums)
+        sums = sums[found]
+    else:
+        found, sums = np.unique(code, return_counts=True)
+    names = [" ", *map(chr, here.tolist())]
+    return Counter({names[c // (k * k)] + names[c // k % k] + names[c % k]: n for c, n in zip(found.tolist(), sums.tolist())})
 
 
 class CharModel:
@@ -152,10 +189,23 @@ class Restorer:
     def tokens(self, text: str | None) -> set[str]:
         """Distinct tokens of the restored text (lower case)."""
         low = (text or "").lower()
-        found = {self.token(t) for t in set(low.split())}
+        seen = set(low.split())
+        plain = {t for t in seen if t.isalpha()}
+        rest = set()
+        for t in seen - plain:
+            core = t.strip(EDGE)
+            if core.isalpha():
+                plain.add(core)
+            else:
+                rest.add(t)
+        if TRIPLE.search(low):
+            odd = {t for t in plain if TRIPLE.search(t)}
+            plain -= odd
+            rest |= odd
+        plain.update([self.token(t) for t in rest])
         for m in SPACED.finditer(low):
-            found.update(self.model.decode(m[0]).split())
-        return found
+            plain.update(self.model.decode(m[0]).split())
+        return plain
 
     def text(self, text: str | None) -> str:
         low = SPACED.sub(lambda m: self.model.decode(m[0]), (text or "").lower())
@@ -199,12 +249,19 @@ class Scorer:
     def __init__(self, restorer: Restorer, counts: dict, toxic: int, other: int):
         self.restorer, self.counts, self.toxic, self.other = restorer, counts, toxic, other
         self.known: dict[str, tuple] = {}
+        self.seen: dict[str, float] = {}
+        self.heads: set[str] = set()
+        self.tails: set[str] = set()
         self.coef: list[float] | None = None
         self.tables: dict[str, dict[str, float]] = {}
 
     def seal(self) -> None:
         """Fix the evidence of every feature, for scoring."""
         self.known = {}
+        parts = [f.split(":", 1) for f in self.counts]
+        # a word without one of these beginnings and endings has no evidence
+        self.heads = {x[:4] for k, x in parts if k != "s4"}
+        self.tails = {x for k, x in parts if k == "s4"}
         self.tables = {kind: {} for kind in ("w", "p4", "s4", "p5", "p6")}
         for f in self.counts:
             kind, part = f.split(":", 1)
@@ -216,7 +273,9 @@ class Scorer:
         return min(math.log(a / (self.toxic - dt + 1)) - math.log(b / (self.other - dn + 1)), 8.0)
 
     def weight(self, token: str) -> float:
-        """Strongest evidence of a token, by the fixed tables."""
+        """Strongest evidence of a token, by the fixed tables; kept for the tokens seen last."""
+        if token in self.seen:
+            return self.seen[token]
         best = 0.0
         w, p4, s4, p5, p6 = self.tables.values()
         for word in (token,) if token.isalpha() else LETTERS.findall(token):
@@ -227,6 +286,9 @@ class Scorer:
                     best = max(best, p5.get(word[:5], 0.0))
                     if n > 6:
                         best = max(best, p6.get(word[:6], 0.0))
+        if len(self.seen) >= 400_000:
+            self.seen.clear()
+        self.seen[token] = best
         return best
 
     def weights(self, token: str) -> tuple[float, float, float]:
@@ -246,7 +308,9 @@ class Scorer:
     def evidence(self, text: str | None, own: int | None = None) -> list[float]:
         """own: the document's label while fitting, to leave it out."""
         if own is None:
-            found = [w for t in self.restorer.tokens(text) if (w := self.weight(t)) > 0.7]
+            heads, tails = self.heads, self.tails
+            near = [t for t in self.restorer.tokens(text) if t[:4] in heads or t[-4:] in tails or not t.isalpha()]
+            found = [w for t in near if (w := self.weight(t)) > 0.7]
         else:
             found = [w for t in self.restorer.tokens(text) if (w := self.weights(t)[1 if own else 2]) > 0.7]
         found.sort(reverse=True)
@@ -286,26 +350,19 @@ def language_model(docs: DataFrame, rare: float = RARE) -> CharModel:
     """Character trigrams of the words of all documents."""
 
     def count(batches):
-        seen, found = Counter(), Counter()
-
-        def take():
-            words: Counter = Counter()
-            for token, n in seen.items():
-                if not suspicious(token):
-                    for w in LETTERS.findall(token):
-                        words[w] += n
-            seen.clear()
-            found.update(word_trigrams(words))
-
+        found, texts, size = Counter(), [], 0
         for b in batches:
             for t in b["text"]:
-                seen.update(set((t or "").lower().split()))
-                if len(seen) > 300_000:
-                    take()
-                if len(found) > 2_000_000:
-                    yield from _pieces(["tri", "n"], found.items())
-                    found.clear()
-        take()
+                for i in range(0, len(t or ""), 1 << 22):
+                    texts.append(t[i : i + (1 << 22)].lower())
+                    size += len(texts[-1])
+                    if size > 1 << 21:
+                        found.update(text_trigrams("\n".join(texts)))
+                        texts, size = [], 0
+                        if len(found) > 1_000_000:
+                            yield from _pieces(["tri", "n"], found.items())
+                            found.clear()
+        found.update(text_trigrams("\n".join(texts)))
         yield from _pieces(["tri", "n"], found.items())
 
     counts = stage(docs.select("text").mapInPandas(count, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n")), "trigrams")
@@ -323,10 +380,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clear: flo
 
     def count_features(batches):
         seen: dict[str, list[int]] = {}
+        known: dict[str, list[str]] = {}
         for b in batches:
             for t, y in zip(b["text"], b["toxic"]):
-                for f in {f for x in bc.value.tokens(t) for w in LETTERS.findall(x) for f in features(w)}:
+                found: set[str] = set()
+                for x in bc.value.tokens(t):
+                    if x not in known:
+                        known[x] = [f for w in LETTERS.findall(x) for f in features(w)]
+                    found.update(known[x])
+                for f in found:
                     seen.setdefault(f, [0, 0])[0 if y else 1] += 1
+                if len(known) > 300_000:
+                    known.clear()
             if len(seen) > 500_000:
                 yield from _pieces(["f", "t", "n"], ((f, *n) for f, n in seen.items()))
                 seen.clear()
