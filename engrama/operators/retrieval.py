@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.functions.text import WORD, bm25_tokens, title, word_tokens
+from engrama.operators.iterate import saved
 from engrama.sources.memories import active
 
 VARIANTS = ("baseline", "dense", "bm25", "rrf", "mix", "hybrid", "hybrid_mmr")
@@ -15,11 +16,12 @@ MIX_CHAT = {"dense": 0.7, "bm25": 0.2, "kw": 0.1}
 
 
 def bm25_index(mem: DataFrame, pattern: str = WORD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """tf (id, term, tf), doc_len (id, dl), term_df (term, df), corpus (n, avgdl)."""
+    """tf (id, term, tf), doc_len (id, dl), term_df (term, df), corpus (n, avgdl). Texts are cut into terms once; the rest follows from tf."""
     live = active(mem)
-    toks = live.select("id", bm25_tokens(F.col("text"), pattern).alias("t"))
-    tf = toks.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    dl = toks.select("id", F.size("t").cast("long").alias("dl"))
+    toks = live.select("id", F.explode(bm25_tokens(F.col("text"), pattern)).alias("term"))
+    tf = saved(toks.groupBy("id", "term").agg(F.count("*").alias("tf")))
+    own = tf.groupBy(F.col("id").alias("_i")).agg(F.sum("tf").alias("_n"))
+    dl = saved(live.select("id").join(own, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_n", F.lit(0)).cast("long").alias("dl")))
     return tf, dl, tf.groupBy("term").agg(F.count("*").alias("df")), dl.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
 
 
@@ -27,24 +29,53 @@ def bm25_scores(queries: DataFrame, index, pattern: str = WORD, k1: float = 1.2,
     """qid, id, bm25 of documents that share a term with the query."""
     tf, dl, df, corpus = index
     q = queries.select("qid", F.explode(F.array_distinct(bm25_tokens(F.col("query"), pattern))).alias("term"))
-    hit = tf.join(q, "term").join(df, "term").join(dl, "id").crossJoin(F.broadcast(corpus))  # one row
+    asked = q.select("term").distinct()
+    # only the queries' terms matter; few of them are sent to the index, more are joined
+    asked = F.broadcast(asked) if asked.limit(100_001).count() <= 100_000 else asked
+    hit = tf.join(asked, "term", "left_semi").join(df.join(asked, "term", "left_semi"), "term").join(dl, "id").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    return hit.groupBy("qid", "id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / norm).alias("bm25"))
+    part = hit.select("id", "term", (idf * F.col("tf") * (k1 + 1) / norm).alias("x"))
+    return part.join(q, "term").groupBy("qid", "id").agg(F.sum("x").alias("bm25"))
 
 
-def keyword_scores(queries: DataFrame, mem: DataFrame, pattern: str = WORD) -> DataFrame:
+def contained_words(texts: DataFrame, words: list[str]) -> DataFrame:
+    """id, term: which of the words each text (id, text) contains, by one pass of an automaton over the text."""
+    held = texts.sparkSession.sparkContext.broadcast(sorted(set(words)))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for w in held.value:
+            found.add_word(w, w)
+        if held.value:
+            found.make_automaton()
+        for b in batches:
+            ids, terms = [], []
+            for i, t in zip(b["id"], b["text"]):
+                own = {w for _, w in found.iter(t)} if held.value and t else ()
+                ids += [i] * len(own)
+                terms += own
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype), "term": pd.Series(terms, dtype=object)})
+
+    return texts.select("id", "text").mapInPandas(run, f"id {kind}, term string")
+
+
+def keyword_scores(queries: DataFrame, mem: DataFrame, pattern: str = WORD, max_words: int = 200_000) -> DataFrame:
     """qid, id, kw: share of the query's distinct words that the lower-cased text contains (> 0 only).
 
-    Words have no white space, so a text contains one if one of its pieces between white space does. The few query words
-    are matched against the distinct pieces once, then joined."""
+    The queries are a stated set; their distinct words go out in blocks of max_words, each a pass over the texts."""
     q = queries.select("qid", F.array_distinct(word_tokens(F.col("query"), pattern)).alias("w"))
     terms = q.select("qid", F.size("w").alias("n"), F.explode("w").alias("term"))
-    pieces = active(mem).select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("piece"))
-    vocabulary = pieces.select("piece").distinct()
-    words = terms.select("term").distinct()
-    inside = vocabulary.join(words, F.col("piece").contains(F.col("term")))
-    hit = pieces.join(inside, "piece").select("id", "term").distinct()
+    texts, words = active(mem).select("id", F.lower("text").alias("text")), terms.select("term").distinct()
+    n = max(1, -(-words.count() // max_words))
+    hit = None
+    for k in range(n):
+        block = [r["term"] for r in words.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k).collect()]
+        part = contained_words(texts, block)
+        hit = part if hit is None else hit.union(part)
     return hit.join(terms, "term").groupBy("qid", "id").agg((F.count("*") / F.max("n")).alias("kw"))
 
 
@@ -91,33 +122,40 @@ def score_all(queries: DataFrame, mem: DataFrame, block_vec: DataFrame, usage: D
     return s.select("qid", "id", zero("cos"), zero("kw"), zero("bm25"), F.coalesce("usage", F.lit(0)).cast("long").alias("usage"), F.round(recency(F.col("time"), now), 9).alias("recency"))
 
 
-def _max(c: str) -> Column:
-    top = F.max(c).over(Window.partitionBy("qid"))
-    return F.when(top > 0, F.col(c) / top).otherwise(F.lit(0.0))
+def with_maxima(scores: DataFrame, *columns: str) -> DataFrame:
+    """Adds max_<column> of each query: partial maxima and a join with one row per query, so no task gets a query's rows."""
+    top = scores.groupBy(F.col("qid").alias("_q")).agg(*[F.max(c).alias(f"max_{c}") for c in columns])
+    return scores.join(top, F.col("qid") == F.col("_q")).drop("_q")
+
+
+def _share(c: str) -> Column:
+    return F.when(F.col(f"max_{c}") > 0, F.col(c) / F.col(f"max_{c}")).otherwise(F.lit(0.0))
+
+
+def all_scores(scores: DataFrame, variants, weights: dict[str, float] = MIX) -> DataFrame:
+    """qid, id and a column per variant with its score, rounded to 6 digits (hybrid_mmr has hybrid's)."""
+    if wrong := [v for v in variants if v not in VARIANTS]:
+        raise ValueError(f"unknown variant {wrong[0]}")
+    s = with_maxima(scores, "cos", "bm25", "kw")
+    out = {
+        "baseline": 0.3 * F.col("cos") + 0.7 * F.col("kw"), "dense": F.col("cos"), "bm25": _share("bm25"),
+        "mix": weights["dense"] * _share("cos") + weights["bm25"] * _share("bm25") + weights["kw"] * _share("kw"),
+    }
+    if {"rrf", "hybrid", "hybrid_mmr"} & set(variants):
+        # reciprocal ranks need every row's place in its query
+        place = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "id"))
+        s = s.withColumn("rr", 1 / (60 + place("cos")) + 1 / (60 + place("bm25"))).withColumn("lu", F.log1p(F.col("usage").cast("double")))
+        s = with_maxima(s, "rr", "lu")
+        out["rrf"] = _share("rr")
+        if {"hybrid", "hybrid_mmr"} & set(variants):
+            s = with_maxima(s.withColumn("hy", 0.75 * _share("rr") + 0.15 * _share("lu") + 0.10 * F.col("recency")), "hy")
+            out["hybrid"] = out["hybrid_mmr"] = _share("hy")
+    return s.select(*scores.columns, *[F.round(out[v], 6).alias(f"score_{v}") for v in variants])
 
 
 def variant_scores(scores: DataFrame, variant: str, weights: dict[str, float] = MIX) -> DataFrame:
     """Adds score by the variant, rounded to 6 digits (hybrid_mmr has hybrid's)."""
-    if variant not in VARIANTS:
-        raise ValueError(f"unknown variant {variant}")
-    s = scores
-    if variant == "baseline":
-        out = 0.3 * F.col("cos") + 0.7 * F.col("kw")
-    elif variant == "dense":
-        out = F.col("cos")
-    elif variant == "bm25":
-        out = _max("bm25")
-    elif variant == "mix":
-        out = weights["dense"] * _max("cos") + weights["bm25"] * _max("bm25") + weights["kw"] * _max("kw")
-    else:
-        rank = lambda c: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "id"))
-        s = s.withColumn("_rrf", 1 / (60 + rank("cos")) + 1 / (60 + rank("bm25"))).withColumn("_rrf", _max("_rrf"))
-        out = F.col("_rrf")
-        if variant != "rrf":
-            s = s.withColumn("_u", F.log1p(F.col("usage").cast("double"))).withColumn("_u", _max("_u"))
-            s = s.withColumn("_h", 0.75 * F.col("_rrf") + 0.15 * F.col("_u") + 0.10 * F.col("recency"))
-            out = _max("_h")
-    return s.withColumn("score", F.round(out, 6)).drop("_rrf", "_u", "_h")
+    return all_scores(scores, (variant,), weights).withColumnRenamed(f"score_{variant}", "score")
 
 
 def top_k(scored: DataFrame, k: int = 10) -> DataFrame:
