@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.functions.text import fmt_date, short
+from engrama.functions.vectors import mean_vectors
 from engrama.operators.graph import degree
 
 
@@ -62,6 +63,12 @@ def community_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     return w.join(bridge, ["a", "b"], "left").select(F.col("a").alias("source"), F.col("b").alias("target"), "weight", F.coalesce("bridge", "first").alias("bridge"))
 
 
+def vectors(members: DataFrame, block_vec: DataFrame) -> DataFrame:
+    """cid, vec: the normalised mean of the vectors of all blocks of a community's members."""
+    own = block_vec.join(members.select(F.col("node").alias("id"), "cid"), "id").select(F.col("cid").alias("id"), "vec")
+    return mean_vectors(own).select(F.col("id").alias("cid"), F.col("rep").alias("vec"))
+
+
 def _lines(df: DataFrame, name: str) -> DataFrame:
     """cid and the `line`s by rank, joined by newlines; every list was cut to a few ranks before."""
     return df.groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias(name))

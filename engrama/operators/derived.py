@@ -55,13 +55,11 @@ def generate(call: LlmCall, kind: str, memory_id: str, blocks: list[str], querie
     }
 
 
-def rewrite(queue: DataFrame, mem: DataFrame, stats: DataFrame, call: LlmCall, dry_run: bool = False) -> tuple[DataFrame | None, list[str]]:
-    """Derived rows of the queue (its few items one by one, errors noted and skipped); none if dry_run."""
+def rewrite(queue: DataFrame, mem: DataFrame, stats: DataFrame, call: LlmCall) -> tuple[DataFrame | None, list[str]]:
+    """Derived rows of the queue (its few items one by one, errors noted and skipped); a dry run shows them and doesn't save them."""
     rows = queue.join(mem.select(F.col("id").cast("string").alias("memory_id"), "blocks"), "memory_id").join(stats.select(F.col("id").cast("string").alias("memory_id"), "queries"), "memory_id", "left").orderBy(F.desc("score"), "memory_id").collect()
     made, errors = [], []
     for r in rows:
-        if dry_run:
-            continue
         try:
             made.append(generate(call, r["kind"], r["memory_id"], list(r["blocks"]), list(r["queries"] or []), r["action"]))
         except Exception as e:  # noqa: BLE001  one bad reply must not stop the others

@@ -228,7 +228,7 @@ def community_text(s, d):
 
 
 def _community_vec(s, d):
-    return mean_vectors(data.block_vec(s, d).join(_members(s, d).select(F.col("node").alias("id"), "cid"), "id").select(F.col("cid").alias("id"), "vec")).select(F.col("id").alias("cid"), F.col("rep").alias("vec"))
+    return community.vectors(_members(s, d), data.block_vec(s, d))
 
 
 def community_scores(s, d):
@@ -240,6 +240,31 @@ def cog_scope(s, d):
     return recall.cog_scope(best, _members(s, d))
 
 
+def _runtime(s, d):
+    com = _community_vec(s, d).select("cid", F.lit("").alias("title"), F.lit("").alias("text"), "vec")
+    return recall.Runtime(data.mem(s, d), data.block_vec(s, d), usage.usage_counts(data.precog(s, d)), None, now(), com, _members(s, d), PLAIN_WORD)
+
+
+def recall_mem(s, d):
+    return recall.recall("mem", data.query_set(s, d), _runtime(s, d), 5).results.select("qid", "memory_id", "rank", "score", "title")
+
+
+def recall_community(s, d):
+    return recall.recall("community", data.query_set(s, d).where("qvec IS NOT NULL"), _runtime(s, d), 5).communities.select("qid", "cid", "cos", "rank")
+
+
+def recall_cog(s, d):
+    q = data.query_set(s, d).where("qvec IS NOT NULL")
+    rt = _runtime(s, d)
+    best = recall.best_communities(q, rt.communities, 3, COG)
+    return retrieval.rank(recall.cog_scores(q, rt, recall.cog_scope(best, rt.members)), "mix", 5).select("qid", "id", "score", "rank")
+
+
+def log_rows(s, d):
+    log = recall.recall("mem", data.query_set(s, d), _runtime(s, d), 5).log
+    return log.select("query", "status", F.array_join("keywords", " ").alias("keywords"), "top_k", F.array_join(F.transform("results", lambda x: F.concat(x["id"], F.lit(":"), x["summary"])), "|").alias("results"))
+
+
 def orphan_used(s, d):
     return feedback.orphan_used(_stats(s, d), _semantic(s, d))
 
@@ -307,7 +332,7 @@ ALL = {
     "ppr_20": ppr_20, "ppr_subgraph": ppr_subgraph, "main_path": main_path, "leiden_partition": leiden_partition, "modularity": modularity,
     "communities": communities, "community_spans": community_spans, "community_core": community_core, "community_relations": community_relations,
     "community_keywords": community_keywords, "community_edges": community_edges, "community_text": community_text, "community_scores": community_scores,
-    "cog_scope": cog_scope, "orphan_used": orphan_used, "noisy_anchor": noisy_anchor, "multi_topic": multi_topic, "duplicate_block": duplicate_block,
+    "cog_scope": cog_scope, "recall_mem": recall_mem, "recall_community": recall_community, "recall_cog": recall_cog, "log_rows": log_rows, "orphan_used": orphan_used, "noisy_anchor": noisy_anchor, "multi_topic": multi_topic, "duplicate_block": duplicate_block,
     "bridge": bridge, "feedback_top": feedback_top, "feedback_plan": feedback_plan, "block_attribution": block_attribution,
     "eval_metrics": eval_metrics, "grid_search": grid_search, "expected_hits": expected_hits,
 }

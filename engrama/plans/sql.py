@@ -79,6 +79,13 @@ CTE = {
     "vs": (["n3"], "SELECT qid, id, unnest(['baseline', 'dense', 'bm25', 'mix', 'rrf', 'hybrid']) AS variant, round(unnest([0.3::DOUBLE * cos + 0.7::DOUBLE * kw, cos, m, 0.6::DOUBLE * c + 0.1::DOUBLE * m + 0.3::DOUBLE * k, rrf, hy / max(hy) OVER (PARTITION BY qid)]), 6) AS score FROM n3"),
     "rk": (["vs"], "SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, id) AS rank FROM vs"),
     "ex": (["q", "mem"], r"SELECT qid, id FROM q, mem WHERE contains(trim(regexp_replace(text, '\s+', ' ', 'g')), trim(regexp_replace(query, '\s+', ' ', 'g'))) AND trim(regexp_replace(query, '\s+', ' ', 'g')) <> ''"),
+    "scope": (["cs", "mb"], "SELECT DISTINCT qid, node AS id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, cid) AS r FROM cs WHERE cos >= 0.05) JOIN mb USING (cid) WHERE r <= 3"),
+    # BM25 statistics are those of each query's own scope
+    "cstat": (["scope", "dl"], "SELECT qid, count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM scope JOIN dl USING (id) GROUP BY qid"),
+    "ctf": (["scope", "tf", "qt"], "SELECT qid, id, term, tf FROM scope JOIN tf USING (id) JOIN qt USING (qid, term)"),
+    "cbm": (["ctf", "cstat", "dl"], "SELECT qid, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS bm25 FROM ctf JOIN (SELECT qid, term, count(*) AS df FROM ctf GROUP BY ALL) USING (qid, term) JOIN cstat USING (qid) JOIN dl USING (id) GROUP BY ALL"),
+    "csc": (["scope", "ds", "ks", "cbm"], "SELECT s.qid, s.id, round(coalesce(cos, 0), 9) AS cos, round(coalesce(kw, 0), 9) AS kw, round(coalesce(bm25, 0), 9) AS bm25 FROM scope s LEFT JOIN ds ON ds.qid = s.qid AND ds.id = s.id LEFT JOIN ks ON ks.qid = s.qid AND ks.id = s.id LEFT JOIN cbm ON cbm.qid = s.qid AND cbm.id = s.id"),
+    "cmix": (["csc"], "SELECT qid, id, round(0.6::DOUBLE * coalesce(cos / nullif(max(cos) OVER w, 0), 0) + 0.1::DOUBLE * coalesce(bm25 / nullif(max(bm25) OVER w, 0), 0) + 0.3::DOUBLE * coalesce(kw / nullif(max(kw) OVER w, 0), 0), 6) AS score FROM csc WINDOW w AS (PARTITION BY qid)"),
     "orph": (["used", "se"], "SELECT id, coalesce(degree, 0) AS degree, round(weighted, 4) AS score FROM used LEFT JOIN (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM se UNION ALL SELECT target FROM se) GROUP BY id) USING (id) WHERE coalesce(degree, 0) <= 0"),
     "noisy": (["used"], "SELECT id, false_hits, round(false_hits / (true_hits + relevant_hits + false_hits), 6) AS ratio, round(weighted * (false_hits / (true_hits + relevant_hits + false_hits)), 4) AS score FROM used WHERE false_hits >= 2 AND false_hits / (true_hits + relevant_hits + false_hits) >= 0.30"),
     "mpc": (["bv"], "SELECT a.id, min(list_dot_product(a.vec, b.vec)) AS min_cos, max(list_dot_product(a.vec, b.vec)) AS max_cos FROM bv a JOIN bv b ON a.id = b.id AND a.block_no < b.block_no GROUP BY a.id"),
@@ -154,6 +161,10 @@ SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)),
     "community_edges": sql(["ce"], "SELECT * FROM ce"),
     "community_scores": sql(["cs"], "SELECT * FROM cs"),
     "cog_scope": sql(["cs", "mb"], "SELECT DISTINCT qid, node AS id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, cid) AS r FROM cs WHERE cos >= 0.05) JOIN mb USING (cid) WHERE r <= 3"),
+    "recall_mem": sql(["rk", "mem"], "SELECT qid, rk.id AS memory_id, rank, score, substr(coalesce(blocks[1], ''), 1, 60) AS title FROM rk JOIN mem ON mem.id = rk.id WHERE variant = 'mix' AND rank <= 5"),
+    "recall_community": sql(["cs"], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, cid) AS rank FROM cs) WHERE rank <= 5"),
+    "recall_cog": sql(["cmix"], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM cmix) WHERE rank <= 5"),
+    "log_rows": sql(["rk", "mem", "q"], f"SELECT query, 'pre' AS status, array_to_string({_words('query')}, ' ') AS keywords, 5 AS top_k, string_agg(rk.id || ':' || substr(text, 1, 60), '|' ORDER BY rank) AS results FROM rk JOIN mem ON mem.id = rk.id JOIN q USING (qid) WHERE variant = 'mix' AND rank <= 5 GROUP BY qid, query"),
     "orphan_used": sql(["orph"], "SELECT * FROM orph"),
     "noisy_anchor": sql(["noisy"], "SELECT * FROM noisy"),
     "multi_topic": sql(["multi"], "SELECT * FROM multi"),
