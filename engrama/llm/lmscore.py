@@ -11,9 +11,9 @@ and joins by Spark; that form takes over twice the time and more disk (figures i
 
 Words with more than a share `hot` / buckets of all occurrences would fill one bucket; the few there can be (at most
 buckets / hot) are found by exact unigram counts first. Their records go out twice, once by (a, b) with the tables of ab
-and abc, once by (b, c) with those of bc and abc; the count of b comes from the list. There are `buckets` buckets, and one per `per_bucket`
-words from there on, so a task's memory doesn't grow with the corpus; buckets go through in `passes` groups, and each group's shuffle
-files are removed when it is done.
+and abc, once by (b, c) with those of bc and abc; the count of b comes from the list. There are `buckets` buckets, and one
+per `per_bucket` words from there on, so a task's memory is bounded; buckets go through in `passes` groups, and each group's
+shuffle files are removed when it is done.
 
 S(c | ab) = n(abc) / n(ab) if n(abc) >= 2, else 0.4 S(c | b); S(c | b) = n(bc) / n(b) if n(bc) >= 2, else 0.4 n(c) / N.
 Documents are lower-cased (A-Z); n-grams don't cross documents; a text's first word has the unigram term only. Counts
