@@ -182,7 +182,7 @@ def ppr_subgraph(s, d):
 
 def main_path(s, d):
     e, top = _ppr_top(s, d)
-    return ppr.main_path(ppr.subgraph(e, top), top)
+    return ppr.main_path(ppr.subgraph(e, top), top).select("qid", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 def leiden_partition(s, d):

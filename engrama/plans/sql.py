@@ -101,8 +101,15 @@ CTE = {
 }
 for _i in range(20):
     CTE[f"p{_i + 1}"] = ([f"p{_i}"], f"SELECT qid, id, sum(x) AS p FROM (SELECT qid, b AS id, 0.6::DOUBLE * p * t AS x FROM p{_i} JOIN tr ON a = id UNION ALL SELECT qid, id, 0.4::DOUBLE * r FROM rs) GROUP BY ALL")
+CTE["qwords"] = (["ex", "q"], f"SELECT ex.id, list_distinct(flatten(list({_words('query')}))) AS w FROM ex JOIN q USING (qid) GROUP BY ex.id")
+CTE["blk"] = (["mem"], "SELECT id, CAST(generate_subscripts(blocks, 1) - 1 AS INTEGER) AS block_no, unnest(blocks) AS block FROM mem")
 CTE["ptop"] = (["p20"], "SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(p, 6) DESC, id) AS rank FROM p20) WHERE rank <= 10")
 
+CTE["psub"] = (["ptop", "lg"], "SELECT * FROM (SELECT a.qid, source, target, weight, row_number() OVER (PARTITION BY a.qid ORDER BY weight DESC, source, target, type) AS rank FROM lg JOIN ptop a ON a.id = source JOIN ptop b ON b.id = target AND a.qid = b.qid) WHERE rank <= 20")
+CTE["w0"] = (["ptop", "psub"], "SELECT qid, [id] AS path FROM ptop WHERE rank = 1")
+for _i in range(5):
+    CTE[f"w{_i + 1}"] = ([f"w{_i}", "psub"], f"SELECT w.qid, CASE WHEN nxt IS NULL THEN path ELSE list_append(path, nxt) END AS path FROM w{_i} w LEFT JOIN (SELECT qid, nxt FROM (SELECT v.qid, CASE WHEN source = path[-1] THEN target ELSE source END AS nxt, row_number() OVER (PARTITION BY v.qid ORDER BY weight DESC, least(source, target), greatest(source, target)) AS r FROM w{_i} v JOIN psub s ON s.qid = v.qid AND (source = path[-1] OR target = path[-1]) AND NOT list_contains(path, CASE WHEN source = path[-1] THEN target ELSE source END)) WHERE r = 1) n ON n.qid = w.qid")
+
 
 def sql(needs: list[str], body: str) -> str:
     order: list[str] = []
@@ -152,6 +159,8 @@ SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)),
     "pair_collapse": sql(["cp"], "SELECT * FROM cp"),
     "ppr_20": sql(["p20"], "SELECT qid, id, round(p, 6) AS p FROM p20"),
     "ppr_subgraph": sql(["ptop", "lg"], "SELECT * FROM (SELECT a.qid, source, target, type, weight, row_number() OVER (PARTITION BY a.qid ORDER BY weight DESC, source, target, type) AS rank FROM lg JOIN ptop a ON a.id = source JOIN ptop b ON b.id = target AND a.qid = b.qid) WHERE rank <= 20"),
+    "main_path": sql(["w5"], "SELECT qid, array_to_string(path, '>') AS path FROM w5"),
+    "block_attribution": sql(["blk", "qwords"], f"SELECT id, block_no, overlap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, block_no) AS r FROM (SELECT id, block_no, round(len(list_intersect(w, {_words('block')})) / len(w), 6) AS overlap FROM blk JOIN qwords USING (id) WHERE len(w) > 0)) WHERE r = 1"),
     "modularity": sql(["cp"], "SELECT round(sum(2 * coalesce(l, 0) / w - pow(d / w, 2)), 6) AS modularity FROM (SELECT n % 8 AS c, sum(weight) AS d FROM (SELECT source AS n, weight FROM cp UNION ALL SELECT target, weight FROM cp) GROUP BY 1) LEFT JOIN (SELECT source % 8 AS c, sum(weight) AS l FROM cp WHERE source % 8 = target % 8 GROUP BY 1) USING (c), (SELECT 2 * sum(weight) AS w FROM cp)"),
     "communities": sql(["mb"], "SELECT * FROM mb"),
     "community_spans": sql(["mb", "live"], 'SELECT cid, CAST(epoch(min(time)) AS BIGINT) AS start, CAST(epoch(max(time)) AS BIGINT) AS "end" FROM mb JOIN live ON id = node GROUP BY cid'),
