@@ -110,6 +110,12 @@ CTE["w0"] = (["ptop", "psub"], "SELECT qid, [id] AS path FROM ptop WHERE rank =
 for _i in range(5):
     CTE[f"w{_i + 1}"] = ([f"w{_i}", "psub"], f"SELECT w.qid, CASE WHEN nxt IS NULL THEN path ELSE list_append(path, nxt) END AS path FROM w{_i} w LEFT JOIN (SELECT qid, nxt FROM (SELECT v.qid, CASE WHEN source = path[-1] THEN target ELSE source END AS nxt, row_number() OVER (PARTITION BY v.qid ORDER BY weight DESC, least(source, target), greatest(source, target)) AS r FROM w{_i} v JOIN psub s ON s.qid = v.qid AND (source = path[-1] OR target = path[-1]) AND NOT list_contains(path, CASE WHEN source = path[-1] THEN target ELSE source END)) WHERE r = 1) n ON n.qid = w.qid")
 
+CTE["pool"] = (["rk"], "SELECT qid, id, score, rank AS i FROM rk WHERE variant = 'hybrid' AND rank <= 60")
+CTE["near"] = (["pool", "bv"], "SELECT p.qid, p.i, o.i AS j, max(list_dot_product(a.vec, b.vec)) AS s FROM pool p JOIN pool o ON o.qid = p.qid AND o.i <> p.i JOIN bv a ON a.id = p.id JOIN bv b ON b.id = o.id GROUP BY ALL")
+CTE["g1"] = (["pool"], "SELECT qid, i, 1 AS step FROM pool WHERE i = 1")
+for _i in range(1, 10):
+    CTE[f"g{_i + 1}"] = ([f"g{_i}", "near"], f"SELECT * FROM g{_i} UNION ALL SELECT qid, i, {_i + 1} FROM (SELECT p.qid, p.i, row_number() OVER (PARTITION BY p.qid ORDER BY 0.7::DOUBLE * score - (1 - 0.7::DOUBLE) * coalesce(m, 0) DESC, p.i) AS r FROM pool p LEFT JOIN (SELECT n.qid, n.i, greatest(0, max(s)) AS m FROM near n JOIN g{_i} g ON g.qid = n.qid AND g.i = n.j GROUP BY ALL) x ON x.qid = p.qid AND x.i = p.i LEFT JOIN g{_i} k ON k.qid = p.qid AND k.i = p.i WHERE k.i IS NULL) WHERE r = 1")
+
 
 def sql(needs: list[str], body: str) -> str:
     order: list[str] = []
@@ -159,6 +165,7 @@ SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)),
     "pair_collapse": sql(["cp"], "SELECT * FROM cp"),
     "ppr_20": sql(["p20"], "SELECT qid, id, round(p, 6) AS p FROM p20"),
     "ppr_subgraph": sql(["ptop", "lg"], "SELECT * FROM (SELECT a.qid, source, target, type, weight, row_number() OVER (PARTITION BY a.qid ORDER BY weight DESC, source, target, type) AS rank FROM lg JOIN ptop a ON a.id = source JOIN ptop b ON b.id = target AND a.qid = b.qid) WHERE rank <= 20"),
+    "mmr_topk": sql(["g10"], "SELECT qid, id, score, CAST(step AS INTEGER) AS rank FROM g10 JOIN pool USING (qid, i)"),
     "main_path": sql(["w5"], "SELECT qid, array_to_string(path, '>') AS path FROM w5"),
     "block_attribution": sql(["blk", "qwords"], f"SELECT id, block_no, overlap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, block_no) AS r FROM (SELECT id, block_no, round(len(list_intersect(w, {_words('block')})) / len(w), 6) AS overlap FROM blk JOIN qwords USING (id) WHERE len(w) > 0)) WHERE r = 1"),
     "modularity": sql(["cp"], "SELECT round(sum(2 * coalesce(l, 0) / w - pow(d / w, 2)), 6) AS modularity FROM (SELECT n % 8 AS c, sum(weight) AS d FROM (SELECT source AS n, weight FROM cp UNION ALL SELECT target, weight FROM cp) GROUP BY 1) LEFT JOIN (SELECT source % 8 AS c, sum(weight) AS l FROM cp WHERE source % 8 = target % 8 GROUP BY 1) USING (c), (SELECT 2 * sum(weight) AS w FROM cp)"),
