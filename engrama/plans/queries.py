@@ -46,10 +46,9 @@ def _graph(s, d):
     return graph.build_graph(data.mem(s, d), data.block_vec(s, d), _uedges(s, d), THRESHOLD, only_source=None)
 
 
-def _light(s, d):
-    """Semantic and usage edges: a graph that PPR, Leiden and modularity run over."""
-    u = graph.usage_graph_edges(_uedges(s, d), data.mem(s, d))
-    return graph.merge_edges(_semantic(s, d).select(*graph.EDGE).unionByName(u.select(*graph.EDGE)))
+def _edges(s, d):
+    """The graph with all kinds of edges, written once: what PPR, Leiden, degrees and communities run over."""
+    return iterate.saved(_graph(s, d))
 
 
 def _members(s, d):
@@ -94,7 +93,8 @@ def merge_dups(s, d):
 
 
 def hash_embed(s, d):
-    return hash_buckets(data.table(s, d, "benchmark"), ["item_id"], "text").select("item_id", "bucket", F.round("value", 6).alias("value"))
+    blocks = data.mem(s, d).select("id", F.posexplode("blocks").alias("block_no", "block"))
+    return hash_buckets(blocks, ["id", "block_no"], "block").select("id", "block_no", "bucket", F.round("value", 6).alias("value"))
 
 
 def bm25_index(s, d):
@@ -150,15 +150,15 @@ def edge_union(s, d):
 
 
 def edge_type_counts(s, d):
-    return graph.type_counts(_light(s, d)).select(F.coalesce("type", F.lit("all")).alias("type"), "n")
+    return graph.type_counts(_edges(s, d)).select(F.coalesce("type", F.lit("all")).alias("type"), "n")
 
 
 def degrees(s, d):
-    return graph.degree(_light(s, d))
+    return graph.degree(_edges(s, d))
 
 
 def pair_collapse(s, d):
-    return graph.collapse(_light(s, d))
+    return graph.collapse(_edges(s, d))
 
 
 def _seeds(s, d):
@@ -167,11 +167,11 @@ def _seeds(s, d):
 
 
 def ppr_20(s, d):
-    return ppr.ppr(_light(s, d), _seeds(s, d), rounds=20, tolerance=0.0).select("qid", "id", F.round("p", 6).alias("p"))
+    return ppr.ppr(_edges(s, d), _seeds(s, d), rounds=20, tolerance=0.0).select("qid", "id", F.round("p", 6).alias("p"))
 
 
 def _ppr_top(s, d):
-    e = iterate.saved(_light(s, d))
+    e = _edges(s, d)
     return e, ppr.top_nodes(ppr.ppr(e, _seeds(s, d), rounds=20, tolerance=0.0), 10)
 
 
@@ -186,12 +186,12 @@ def main_path(s, d):
 
 
 def leiden_partition(s, d):
-    e = iterate.saved(graph.collapse(_light(s, d)))
+    e = iterate.saved(graph.collapse(_edges(s, d)))
     return leiden.communities(e, iterate.connected(e))
 
 
 def modularity(s, d):
-    e = graph.collapse(_light(s, d))
+    e = graph.collapse(_edges(s, d))
     nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
     return leiden.modularity(e, nodes.select("node", (F.col("node") % 8).alias("community")))
 
@@ -205,11 +205,11 @@ def community_spans(s, d):
 
 
 def community_core(s, d):
-    return community.core_members(_members(s, d), _light(s, d)).select("cid", "node", F.col("degree").cast("long").alias("degree"), "rank")
+    return community.core_members(_members(s, d), _edges(s, d)).select("cid", "node", F.col("degree").cast("long").alias("degree"), "rank")
 
 
 def community_relations(s, d):
-    return community.internal_relations(_members(s, d), _light(s, d)).select("cid", "source", "target", "type", "weight", "rank")
+    return community.internal_relations(_members(s, d), _edges(s, d)).select("cid", "source", "target", "type", "weight", "rank")
 
 
 def community_keywords(s, d):
@@ -218,12 +218,12 @@ def community_keywords(s, d):
 
 
 def community_edges(s, d):
-    return community.community_edges(_members(s, d), _light(s, d))
+    return community.community_edges(_members(s, d), _edges(s, d))
 
 
 def community_text(s, d):
     _, p, st = _postings(s, d)
-    m, e = _members(s, d), iterate.saved(_light(s, d))
+    m, e = _members(s, d), _edges(s, d)
     return community.describe(m, data.mem(s, d), e, community.keywords(m, p, st), community.community_edges(m, e), 0.0).select("cid", "title", "size", "text")
 
 

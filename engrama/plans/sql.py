@@ -47,7 +47,8 @@ CTE = {
     "tl": (["live"], "SELECT *, lag(id) OVER (ORDER BY time, id) AS p, (epoch(time) - epoch(lag(time) OVER (ORDER BY time, id))) / 60 AS gap FROM live"),
     "te": (["tl"], "SELECT least(id, p) AS source, greatest(id, p) AS target, 'temporal' AS type, 0.25::DOUBLE AS weight, '时间相邻 ' || CAST(round(gap) AS BIGINT) || ' 分钟' AS evidence FROM tl WHERE p IS NOT NULL AND gap <= 360"),
     "ug": (["ue", "live"], "SELECT source, target, 'usage' AS type, weight, evidence FROM ue WHERE source IN (SELECT id FROM live) AND target IN (SELECT id FROM live)"),
-    "lg": (["se", "ug"], "SELECT * FROM se UNION ALL SELECT * FROM ug"),
+    "rd": (["live"], "SELECT a.id AS source, b.id AS target, 'reference' AS type, 3.0::DOUBLE AS weight, '显式引用' AS evidence FROM live a JOIN live b ON b.id = a.id + 10 WHERE b.id % 10 = 0"),
+    "lg": (["ee", "se", "rd", "te", "ug"], "SELECT * FROM ee UNION ALL SELECT * FROM se UNION ALL SELECT * FROM rd UNION ALL SELECT * FROM te UNION ALL SELECT * FROM ug"),
     "ends": (["lg"], "SELECT source AS id, weight FROM lg UNION ALL SELECT target, weight FROM lg"),
     "deg": (["ends"], "SELECT id, count(*) AS degree FROM ends GROUP BY id"),
     "cp": (["lg"], "SELECT source, target, round(sum(weight), 6) AS weight FROM lg WHERE source <> target GROUP BY ALL"),
@@ -56,8 +57,11 @@ CTE = {
     "kw0": (["mb", "post", "est"], "SELECT cid, entity, round(sum(idf), 6) AS score FROM mb JOIN post ON post.id = node JOIN est USING (entity) WHERE NOT contains(entity, '/') AND length(entity) <= 24 GROUP BY ALL"),
     "kwx": (["kw0"], "SELECT cid, sub AS entity, max(score) AS o FROM (SELECT cid, entity, score, unnest(flatten(list_transform(range(1, length(entity) + 1), lambda k: list_transform(range(1, length(entity) - k + 2), lambda i: substr(entity, i, k))))) AS sub FROM kw0) WHERE sub <> entity GROUP BY ALL"),
     "kw": (["kw0", "kwx"], "SELECT * FROM (SELECT a.cid, a.entity AS keyword, a.score, row_number() OVER (PARTITION BY a.cid ORDER BY a.score DESC, a.entity) AS rank FROM kw0 a LEFT JOIN kwx b ON a.cid = b.cid AND a.entity = b.entity WHERE b.o IS NULL OR b.o < a.score) WHERE rank <= 5"),
-    "cx": (["lg", "mb"], "SELECT least(a.cid, b.cid) AS source, greatest(a.cid, b.cid) AS target, lg.weight, lg.evidence, (lg.source, lg.target, lg.type) AS o FROM lg JOIN mb a ON a.node = lg.source JOIN mb b ON b.node = lg.target WHERE a.cid <> b.cid"),
-    "ce": (["cx"], "SELECT source, target, CAST((CAST(sum(CAST(round(weight * 10000) AS BIGINT)) AS BIGINT) + 5) // 10 AS DOUBLE) / 1000.0::DOUBLE AS weight, arg_min(evidence, o) AS bridge FROM cx GROUP BY ALL"),
+    "cx": (["lg", "mb"], "SELECT least(a.cid, b.cid) AS source, greatest(a.cid, b.cid) AS target, lg.type, lg.weight, lg.evidence, (lg.source, lg.target, lg.type) AS o FROM lg JOIN mb a ON a.node = lg.source JOIN mb b ON b.node = lg.target WHERE a.cid <> b.cid"),
+    "cn": (["cx"], "SELECT source, target, word, count(*) AS n FROM (SELECT source, target, unnest(string_split(replace(evidence, '共享实体: ', ''), '、')) AS word FROM cx WHERE type = 'entity') GROUP BY ALL"),
+    "cb": (["cn"], "SELECT source, target, string_agg(word, '、' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY n DESC, word) AS r FROM cn) WHERE r <= 3 GROUP BY ALL"),
+    "c0": (["cx"], "SELECT source, target, CAST((CAST(sum(CAST(round(weight * 10000) AS BIGINT)) AS BIGINT) + 5) // 10 AS DOUBLE) / 1000.0::DOUBLE AS weight, arg_min(evidence, o) AS first FROM cx GROUP BY ALL"),
+    "ce": (["c0", "cb"], "SELECT source, target, weight, coalesce(names, first) AS bridge FROM c0 LEFT JOIN cb USING (source, target)"),
     "cdims": (["bv", "mb"], "SELECT cid, i, sum(vec[i]) AS x FROM bv JOIN mb ON node = id, range(1, 65) t(i) GROUP BY cid, i"),
     "cvec": (["cdims"], "SELECT cid, list(x / n ORDER BY i) AS vec FROM cdims JOIN (SELECT cid, sqrt(sum(x * x)) AS n FROM cdims GROUP BY cid) USING (cid) GROUP BY cid"),
     "q": ([], "SELECT item_id AS qid, text AS query, CAST(embedding AS DOUBLE[]) AS qvec FROM benchmark LEFT JOIN embeddings ON vec_id = item_id"),
@@ -103,6 +107,9 @@ for _i in range(20):
     CTE[f"p{_i + 1}"] = ([f"p{_i}"], f"SELECT qid, id, sum(x) AS p FROM (SELECT qid, b AS id, 0.6::DOUBLE * p * t AS x FROM p{_i} JOIN tr ON a = id UNION ALL SELECT qid, id, 0.4::DOUBLE * r FROM rs) GROUP BY ALL")
 CTE["qwords"] = (["ex", "q"], f"SELECT ex.id, list_distinct(flatten(list({_words('query')}))) AS w FROM ex JOIN q USING (qid) GROUP BY ex.id")
 CTE["blk"] = (["mem"], "SELECT id, CAST(generate_subscripts(blocks, 1) - 1 AS INTEGER) AS block_no, unnest(blocks) AS block FROM mem")
+CTE["htok"] = (["blk"], "SELECT id, block_no, unnest(regexp_extract_all(lower(block), '[a-z0-9]+', 0)) AS tok FROM blk")
+CTE["hnum"] = (["htok"], "SELECT tok, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS h FROM (SELECT DISTINCT tok FROM htok)")
+CTE["hsum"] = (["htok", "hnum"], "SELECT id, block_no, CAST(h % 512 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS DOUBLE) AS v FROM htok JOIN hnum USING (tok) GROUP BY ALL HAVING sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) <> 0")
 CTE["ptop"] = (["p20"], "SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(p, 6) DESC, id) AS rank FROM p20) WHERE rank <= 10")
 
 CTE["psub"] = (["ptop", "lg"], "SELECT * FROM (SELECT a.qid, source, target, weight, row_number() OVER (PARTITION BY a.qid ORDER BY weight DESC, source, target, type) AS rank FROM lg JOIN ptop a ON a.id = source JOIN ptop b ON b.id = target AND a.qid = b.qid) WHERE rank <= 20")
@@ -144,10 +151,7 @@ ALL = {
     "usage_summary": sql(["st", "ue", "ev"], "SELECT CAST(sum(true_hits) AS BIGINT) AS true_hits, CAST(sum(relevant_hits) AS BIGINT) AS relevant_hits, CAST(sum(false_hits) AS BIGINT) AS false_hits, CAST(sum(unlabeled_hits) AS BIGINT) AS unlabeled_hits, count(*) AS used_memories, count(*) FILTER (true_hits + relevant_hits > 0) AS positive_memories, (SELECT count(*) FROM ue) AS co_hit_edges, (SELECT count(DISTINCT record_id) FROM ev) AS records FROM st"),
     "memories": sql(["mem"], "SELECT id, CAST(len(blocks) AS INTEGER) AS n_blocks, CAST(length(text) AS INTEGER) AS n_chars, substr(coalesce(blocks[1], ''), 1, 60) AS title, CAST(epoch(time) AS BIGINT) AS time FROM mem"),
     "merge_duplicates": "SELECT id, role, blocks FROM (SELECT conv_id AS id, arg_min(role, turn) AS role FROM conversations GROUP BY conv_id) JOIN (SELECT conv_id AS id, string_agg(text, '|' ORDER BY t) AS blocks FROM (SELECT conv_id, text, min(turn) AS t FROM conversations GROUP BY conv_id, text) GROUP BY conv_id) USING (id)",
-    "hash_embed": """WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+', 0)) AS tok FROM benchmark),
- h AS (SELECT item_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS h FROM t),
- s AS (SELECT item_id, CAST(h % 512 AS INTEGER) AS bucket, CAST(sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS DOUBLE) AS v FROM h GROUP BY ALL HAVING sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) <> 0)
-SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM s""",
+    "hash_embed": sql(["hsum"], "SELECT id, block_no, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY id, block_no)), 6) AS value FROM hsum"),
     "bm25_index": sql(["tf"], "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term"),
     "doc_lengths": sql(["dl"], "SELECT * FROM dl"),
     "kw_overlap": sql(["ks"], "SELECT qid, id, round(kw, 6) AS kw FROM ks"),
@@ -159,7 +163,7 @@ SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)),
     "semantic_edges": sql(["se"], "SELECT * FROM se"),
     "reference_edges": "SELECT least(a, b) AS source, greatest(a, b) AS target, 'reference' AS type, sum(3.0::DOUBLE) AS weight, '显式引用' AS evidence FROM (SELECT DISTINCT c.conv_id || '-' || c.turn AS a, p.conv_id || '-' || p.turn AS b FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1) GROUP BY ALL",
     "temporal_edges": sql(["te"], "SELECT * FROM te"),
-    "edge_union": sql(["ee", "se", "te", "ug"], "SELECT source, target, type, weight FROM (SELECT * FROM ee UNION ALL SELECT * FROM se UNION ALL SELECT * FROM te UNION ALL SELECT * FROM ug)"),
+    "edge_union": sql(["lg"], "SELECT source, target, type, weight FROM lg"),
     "edge_type_counts": sql(["lg"], "SELECT coalesce(type, 'all') AS type, count(*) AS n FROM lg GROUP BY ROLLUP (type)"),
     "degree": sql(["deg"], "SELECT * FROM deg"),
     "pair_collapse": sql(["cp"], "SELECT * FROM cp"),
