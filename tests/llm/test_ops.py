@@ -811,6 +811,29 @@ def test_near_copies_of_the_pipeline(spark, odd):
     assert nearcopies.near_copies(odd.limit(0)).count() == 0
 
 
+def test_prefix_pairs_hold_all_similar_pairs_and_no_far_copies(spark):
+    """Copies of one text with 0 to 7 own edits, six shingles apart: up to 5 may meet, 6 and more lead with own shingles."""
+    from engrama.llm import nearcopies
+
+    base = [f"w{i}" for i in range(150)]
+    sets, edits = {}, {}
+    for i in range(64):
+        w = list(base)
+        for j in range(i % 8):
+            w[4 + (j * 18 + i) % 140] = f"e{i}_{j}"
+        s = nearcopies.shingle_set(nearcopies.words(" ".join(w))).view("int64")
+        sets[i], edits[i] = s.tolist(), i % 8
+    bags = spark.createDataFrame(list(sets.items()), "node long, s array<long>")
+    roots = spark.createDataFrame([(i, i) for i in sets], "node long, root long")
+    got = {(r["a"], r["b"]) for r in nearcopies.prefix_pairs(bags, roots).collect()}
+    full = {i: set(x) for i, x in sets.items()}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(full[a] & full[b]) >= 0.8 * len(full[a] | full[b])}
+    assert alike and alike <= got
+    assert not [p for p in got - alike if max(edits[p[0]], edits[p[1]]) >= 6]
+    same = spark.createDataFrame([(i, 0) for i in sets], "node long, root long")
+    assert nearcopies.prefix_pairs(bags, same).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
