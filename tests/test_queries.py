@@ -46,3 +46,8 @@ def test_memories_keep_digits_at_the_ends(spark, tmp_path):
 def test_chat_memories_keep_digits_at_the_ends(spark):
     raw = spark.createDataFrame([("A_MEM_1", "[]", '["\\t10 \\u3000", "\\r\\n", "21\\ufeff"]', "s", "[]")], "memory_id string, revelant string, blocks string, source string, core_file string")
     assert memories.chat_memories(raw).first()["blocks"] == ["10", "21"]
+
+
+def test_bm25_index_keeps_digits_at_the_ends(spark, tmp_path):
+    got, want = both(spark, tables(tmp_path, spark, ENDS), "bm25_index")
+    assert got == want and {"8630", "11"} <= {r[0] for r in got}
