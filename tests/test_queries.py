@@ -51,3 +51,8 @@ def test_chat_memories_keep_digits_at_the_ends(spark):
 def test_bm25_index_keeps_digits_at_the_ends(spark, tmp_path):
     got, want = both(spark, tables(tmp_path, spark, ENDS), "bm25_index")
     assert got == want and {"8630", "11"} <= {r[0] for r in got}
+
+
+def test_hash_embed_keeps_digits_at_the_ends(spark, tmp_path):
+    got, want = both(spark, tables(tmp_path, spark, ENDS), "hash_embed")
+    assert got == want
