@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.functions.text import cjk_terms, latin_entities
+from engrama.operators.iterate import saved
 
 
 def cjk_term_selection(mem: DataFrame, min_df: int = 4, max_share: float = 0.3, keep: int = 150) -> DataFrame:
@@ -13,9 +15,11 @@ def cjk_term_selection(mem: DataFrame, min_df: int = 4, max_share: float = 0.3,
 
     Containment is transitive, so "inside an earlier kept term" is "inside any earlier term": an anti-join over the at
     most 14 proper substrings of each term."""
-    n = mem.agg(F.count("*").alias("n"))
     df = mem.select("id", F.explode(F.array_distinct(cjk_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    ok = df.crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n"))).drop("n")  # n is one row
+    df = saved(df.where(F.col("df") >= min_df))
+    # texts are counted only if they have such terms
+    n = df.select(F.lit(0).alias("n")).limit(1) if df.isEmpty() else mem.agg(F.count("*").alias("n"))
+    ok = df.crossJoin(F.broadcast(n)).where(F.col("df") <= max_share * F.col("n")).drop("n")  # n is one row
     scored = ok.withColumn("score", F.col("df") * F.log(F.length("term") + F.lit(1.0)))
     order = F.struct((-F.col("score")).alias("s"), (-F.length("term")).alias("l"), F.col("term").alias("t"))
     scored = scored.withColumn("o", order)
@@ -26,14 +30,20 @@ def cjk_term_selection(mem: DataFrame, min_df: int = 4, max_share: float = 0.3,
 
 
 def entity_postings(mem: DataFrame, cjk: bool = True) -> DataFrame:
-    """Distinct (entity, id) of memories that aren't deprecated; CJK terms (150 at most) are looked for as substrings."""
+    """Distinct (entity, id) of memories that aren't deprecated; CJK terms (150 at most) are looked for as substrings.
+
+    Within a row entities are made distinct: only rows of repeated ids need a comparison."""
     live = mem.where("deprecated_by IS NULL")
-    latin = live.select("id", F.explode(F.array_distinct(latin_entities(F.col("text")))).alias("entity"))
-    if cjk:
-        terms = cjk_term_selection(live).select("term")
-        found = live.join(F.broadcast(terms), F.col("text").contains(F.col("term")))  # 150 terms at most
-        latin = latin.unionByName(found.select("id", F.col("term").alias("entity"))).distinct()
-    return latin
+    found = latin_entities(F.col("text"))
+    terms = [r["term"] for r in cjk_term_selection(live).select("term").collect()] if cjk else []  # 150 at most
+    if terms:
+        found = F.concat(found, F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.col("text"), t)))
+    out = live.select("id", F.explode(F.array_distinct(found)).alias("entity"))
+    twice = live.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    if twice.isEmpty():
+        return out
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").distinct())
 
 
 def entity_stats(postings: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -43,15 +53,123 @@ def entity_stats(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     return df.select("entity", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def entity_pairs(postings: DataFrame, stats: DataFrame, min_idf: float = 0.7, max_df: int = 200, top: int = 4) -> DataFrame:
-    """source, target, shared (the `top` rarest shared entities), weight (their idf sum). Entities above max_df aren't paired: that is the rule of the edge, not a limit on work."""
+def _block_pairs(per_node: int | None, floor: float, top: int, plain: bool, chunk: int = 500_000):
+    """The worker of entity_pairs: from the posting lists that reach one block of ids, the pairs of that block's ids.
+
+    With `plain` the ids are whole numbers from 0 on that serve as they are; others are numbered by their order."""
+
+    def starts(a):
+        import numpy as np
+
+        return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists, mine = table.column("ids").combine_chunks(), table.column("own").combine_chunks()
+        entity, idf = table.column("entity").combine_chunks(), table.column("idf").to_numpy()
+        rank = np.empty(len(table), dtype=np.int64)
+        rank[pc.sort_indices(table.select(["idf", "entity"]), sort_keys=[("idf", "descending"), ("entity", "ascending")]).to_numpy()] = np.arange(len(table))
+        code, own = lists.flatten().to_numpy(zero_copy_only=False), mine.flatten().to_numpy(zero_copy_only=False)
+        if not plain:
+            code, names = pd.factorize(code, sort=True)
+            own = pd.Index(names).get_indexer(own)
+        own = own.astype(np.int64)
+        size, begin = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        row = np.repeat(np.arange(len(table)), np.diff(mine.offsets.to_numpy()))
+        order = np.lexsort((rank[row], own))  # by id, then rarest entity first
+        row, own = row[order], own[order]
+        del order, rank
+        at = starts(own)
+        end = np.append(at[1:], len(own))
+        work = np.concatenate([[0], np.cumsum(size[row])])
+        bits, place = max(1, int(code.max()).bit_length()), int((end - at).max()).bit_length()
+        scale = int(top * 1e4 * max(float(idf.max()), 1.0) + 1).bit_length()
+        most = 1 << (62 - bits - max(place, scale))  # ids of a chunk
+        i = 0
+        while i < len(at):
+            j = max(i + 1, min(i + most, int(np.searchsorted(work[end], work[at[i]] + chunk))))
+            s, e = at[i], end[j - 1]
+            r, n, first = row[s:e], size[row[s:e]], at[i:j] - s
+            node = np.repeat(np.arange(j - i), end[i:j] - at[i:j])
+            where = np.repeat(begin[r] - (work[s:e] - work[s]), n) + np.arange(work[e] - work[s])
+            other = code[where].astype(np.int64)
+            del where
+            good = other > np.repeat(own[s:e], n) if per_node is None else other != np.repeat(own[s:e], n)
+            key = (np.repeat(node, n) << (bits + place)) | (other << place) | np.repeat(np.arange(e - s) - first[node], n)
+            key = key[good]
+            del other, good
+            key.sort()
+            pair = key >> place
+            head = starts(pair)
+            tail = np.append(head[1:], len(key))
+            weight = np.zeros(len(head))
+            for t in range(top):
+                has = np.flatnonzero(head + t < tail)
+                k = key[head[has] + t]
+                weight[has] += idf[r[first[k >> (bits + place)] + (k & ((1 << place) - 1))]]
+            weight = np.floor(weight * 1e4 + 0.5).astype(np.int64)
+            pick = np.flatnonzero(weight / 1e4 >= floor)
+            if per_node is not None and len(pick):
+                # one number by id, weight downwards and other id; the order of the other id is that of (source, target)
+                ab, span = pair[head[pick]], int(weight[pick].max())
+                lane = (((ab >> bits) << (scale + bits)) | ((span - weight[pick]) << bits)) | (ab & ((1 << bits) - 1))
+                lane.sort()
+                a = lane >> (scale + bits)
+                begins = starts(a)
+                lane = lane[np.arange(len(a)) - np.repeat(begins, np.diff(np.append(begins, len(a)))) < per_node]
+                ab = ((lane >> (scale + bits)) << bits) | (lane & ((1 << bits) - 1))
+                pick = np.searchsorted(pair[head], ab)
+            a, b = own[at[i:j]][pair[head[pick]] >> bits], pair[head[pick]] & ((1 << bits) - 1)
+            count = np.minimum(tail[pick] - head[pick], top)
+            offsets = np.concatenate([[0], np.cumsum(count)])
+            k = key[np.repeat(head[pick] - offsets[:-1], count) + np.arange(offsets[-1])]
+            shared = entity.take(pa.array(r[first[k >> (bits + place)] + (k & ((1 << place) - 1))]))
+            kind, name = table.schema.field("ids").type.value_type, (lambda x: x) if plain else names.__getitem__
+            yield pa.table({
+                "source": pa.array(name(np.minimum(a, b)), kind), "target": pa.array(name(np.maximum(a, b)), kind),
+                "shared": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), shared), "weight": pa.array(weight[pick] / 1e4),
+            })
+            i = j
+
+    def block(table):
+        import pyarrow as pa
+
+        return pa.concat_tables(run(table))
+
+    return block
+
+
+def entity_pairs(postings: DataFrame, stats: DataFrame, min_idf: float = 0.7, max_df: int = 200, top: int = 4, floor: float = 0.0, per_node: int | None = None, per_block: int = 1_000_000) -> DataFrame:
+    """source, target, shared (the `top` rarest shared entities), weight (their idf sum). Entities above max_df aren't paired: that is the rule of the edge, not a limit on work.
+
+    With per_node, of the pairs at or above the floor only those among the per_node strongest of either end. Pairs are never
+    dealt out: ids are split into blocks of about per_block postings, the posting lists (max_df ids at most) go to the blocks
+    of their ids, and each block counts its ids' pairs with all others, some ids at a time."""
+    stats = saved(stats.where((F.col("df") > 1) & F.col("idf").isNotNull()))
     good = stats.where((F.col("idf") >= min_idf) & F.col("df").between(2, max_df)).select("entity", "idf")
-    p = postings.join(good, "entity")
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.id") < F.col("b.id")))
-    g = pairs.groupBy(F.col("a.id").alias("source"), F.col("b.id").alias("target")).agg(F.collect_list(F.struct((-F.col("a.idf")).alias("o"), F.col("a.entity").alias("x"))).alias("s"))
-    s = F.slice(F.array_sort("s"), 1, top)
-    return g.select("source", "target", s.alias("s")).select("source", "target", F.transform("s", lambda x: x["x"]).alias("shared"), F.round(F.aggregate("s", F.lit(0.0), lambda t, x: t - x["o"]), 4).alias("weight"))
+    # the commonest entities make up most postings: they are dropped before the join, the others by it
+    common = F.broadcast(stats.where(F.col("df") > max_df).orderBy(F.desc("df"), "entity").limit(50_000).select("entity"))
+    p = postings.where("id IS NOT NULL").join(common, "entity", "left_anti").join(good, "entity")
+    lists = saved(p.groupBy("entity", "idf").agg(F.collect_list("id").alias("ids")))
+    kind = postings.schema["id"].dataType.simpleString()
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    low, high = (F.min(F.array_min("ids")), F.max(F.array_max("ids"))) if whole else (F.lit(None), F.lit(None))
+    n, low, high = lists.agg(F.sum(F.size("ids")), low, high).first()
+    # whole numbers of a short range go out as int
+    plain = whole and low is not None and high - low < (1 << 31) - 1
+    lists = lists.withColumn("ids", F.transform("ids", lambda x: (x - F.lit(low)).cast("int"))) if plain else lists
+    own = "int" if plain else kind
+    blocks = max(1, -(-(n or 0) // per_block))
+    of = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int")
+    dealt = lists.select("entity", "idf", "ids", F.explode(F.array_distinct(F.transform("ids", lambda x: of(x)))).alias("block"))
+    dealt = dealt.withColumn("own", F.filter("ids", lambda x: of(x) == F.col("block")))
+    found = dealt.groupBy("block").applyInArrow(_block_pairs(per_node, floor, top, plain), f"source {own}, target {own}, shared array<string>, weight double")
+    if plain:
+        found = found.withColumns({c: (F.col(c).cast("long") + F.lit(low)).cast(kind) for c in ("source", "target")})
+    return saved(found if per_node is None else found.dropDuplicates(["source", "target"]))
 
 
 def entity_edges(pairs: DataFrame, floor: float = 3.0, per_node: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from engrama.functions.text import title
 from engrama.functions.vectors import mean_vectors
 from engrama.operators.entities import entity_edges, entity_pairs, entity_postings, entity_stats
+from engrama.operators.iterate import saved
 from engrama.sources.memories import active
 
 EDGE = ["source", "target", "type", "weight", "evidence"]
@@ -98,8 +99,8 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 def build_graph(mem: DataFrame, block_vec: DataFrame, usage: DataFrame, threshold: float = 0.62, floor: float = 3.0, only_source: str | None = "LOG") -> DataFrame:
     live = active(mem)
-    postings = entity_postings(live)
-    entity = entity_edges(entity_pairs(postings, entity_stats(postings, live)), floor)
+    postings = saved(entity_postings(live))
+    entity = entity_edges(entity_pairs(postings, entity_stats(postings, live), floor=floor, per_node=10), floor)
     ids = live.select("id")
     vec = block_vec.join(ids, "id", "left_semi")
     parts = [entity, semantic_edges(vec, threshold), reference_edges(mem), temporal_edges(mem, only_source=only_source), usage_graph_edges(usage, mem)]

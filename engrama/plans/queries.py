@@ -34,8 +34,8 @@ def _postings(s, d):
 
 def _entity(s, d):
     m = active(data.mem(s, d))
-    p = entities.entity_postings(m)
-    return entities.entity_edges(entities.entity_pairs(p, entities.entity_stats(p, m)))
+    p = iterate.saved(entities.entity_postings(m))
+    return entities.entity_edges(entities.entity_pairs(p, entities.entity_stats(p, m), floor=3.0, per_node=10))
 
 
 def _semantic(s, d):

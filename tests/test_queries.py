@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from engrama.operators import entities
 from engrama.plans import registry
 from engrama.sources import memories
 
@@ -56,3 +57,43 @@ def test_bm25_index_keeps_digits_at_the_ends(spark, tmp_path):
 def test_hash_embed_keeps_digits_at_the_ends(spark, tmp_path):
     got, want = both(spark, tables(tmp_path, spark, ENDS), "hash_embed")
     assert got == want
+
+
+@pytest.mark.parametrize("name", [lambda i: i, lambda i: (-1) ** i * i * 10**9, lambda i: f"m{i * 37 % 61}"])
+def test_entity_pairs_by_blocks_equal_all_pairs(spark, name):
+    """The strongest pairs of either end, by blocks of few postings, against all pairs counted one by one."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    have = {name(i): {f"word{int(rng.paretovariate(0.6)) % 40:02d}" for _ in range(rng.randint(1, 8))} for i in range(60)}
+    rows = [(i, w) for i, ws in have.items() for w in sorted(ws)]
+    kind = "string" if isinstance(rows[0][0], str) else "long"
+    p = spark.createDataFrame(rows, f"id {kind}, entity string")
+    df = {w: sum(w in ws for ws in have.values()) for _, w in rows}
+    idf = {w: math.log(1 + (60 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    stats = spark.createDataFrame([(w, df[w], idf[w]) for w in df], "entity string, df long, idf double")
+    want = {}
+    for a in have:
+        for b in have:
+            both = sorted((-idf[w], w) for w in have[a] & have[b] if a < b and idf[w] >= 0.7 and 2 <= df[w] <= 20)
+            if both:
+                want[a, b] = ([w for _, w in both[:4]], round(-sum(x for x, _ in both[:4]), 4))
+    took = {(r["source"], r["target"]): (r["shared"], round(r["weight"], 4)) for r in entities.entity_pairs(p, stats, max_df=20, per_block=25).collect()}
+    assert took == want and len(want) > 60
+    few = entities.entity_pairs(p, stats, max_df=20, floor=2.0, per_node=3, per_block=25)
+    assert few.count() < sum(w >= 2.0 for _, w in want.values())
+    edges = lambda x: {(r["source"], r["target"], r["weight"], r["evidence"]) for r in entities.entity_edges(x, 2.0, 3).collect()}
+    assert edges(few) == edges(entities.entity_pairs(p, stats, max_df=20)) != set()
+
+
+def test_entity_edges_do_not_deal_out_pairs(spark, tmp_path):
+    texts = {i: " ".join(f"name{j:03d}" for j in range(i % 7, i % 7 + 30)) for i in range(100)}
+    folder = tables(tmp_path, spark, texts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()["entity_edges"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        got, want = both(spark, folder, "entity_edges")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == want and "collect_list" not in plan
