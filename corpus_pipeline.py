@@ -12,15 +12,22 @@ from engrama.llm import decontamination, mixing, nearcopies, sharding, simhash,
 from engrama.llm.shared import stage, table
 
 
+#: Rows that go to a Python worker at a time. Workers live on from stage to stage, and what they once took they keep.
+ROWS = "1000"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.7."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.where("tox_predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5-word shingles, similarity 0.8) the document with the smallest doc_id."""
-    return simhash.firsts(docs, nearcopies.near_copies(docs)).select(*docs.columns)
+    """Of each component the document with the smallest doc_id. Links are op2's (fingerprints within 3 bits) and, for copies that
+    fingerprints can't find, near copies by 5-word shingles (similarity 0.8)."""
+    found = simhash.merged(simhash.near_duplicates(docs), nearcopies.near_copies(docs))
+    return simhash.firsts(docs, found).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

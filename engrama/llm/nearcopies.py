@@ -129,7 +129,7 @@ def prefix_pairs(bags: DataFrame, roots: DataFrame, similar: float = SIMILAR) ->
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, th, component_id for every row of docs."""
+    """doc_id, th, root (the smallest node of its component), component_id for every row of docs."""
     rows = stage(sketches(docs), "sketches")
     nodes = stage(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts", tidy=True)
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
@@ -160,5 +160,5 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         of = components(links.union(more))
     named = nodes.join(of, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stage(named.join(least, "root").select("node", "component_id"), "classes")
-    return rows.select("id", "th", "node").join(classes, "node").select(F.col("id").alias("doc_id"), "th", "component_id")
+    classes = stage(named.join(least, "root").select("node", "root", "component_id"), "classes")
+    return rows.select("id", "th", "node").join(classes, "node").select(F.col("id").alias("doc_id"), "th", "root", "component_id")

@@ -114,15 +114,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, blocks: int | None = None, radius: int = 3, crowd: int = 1024) -> DataFrame:
-    """doc_id, th, fp, component_id for every row of docs."""
+    """doc_id, th, fp, root (the smallest fingerprint of its component), component_id for every row of docs."""
     rows = stage(fingerprints(docs, shingle=shingle), "fingerprints")
     nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     links = stage(hamming_links(nodes, blocks or blocks_for(nodes.count(), radius), radius, crowd), "near")
     roots = components(links).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = stage(named.join(least, "root").select("fp", "component_id"), "classes")
-    return rows.join(of, "fp").select(F.col("id").alias("doc_id"), "th", "fp", "component_id")
+    of = stage(named.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return rows.join(of, "fp").select(F.col("id").alias("doc_id"), "th", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
@@ -133,6 +133,19 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     return firsts(docs, near_duplicates(docs, **how))
 
 
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """doc_id, th, component_id: components of two results over the same rows (doc_id, th, root, component_id), made one where
+    they share a text. Equal texts have one root in each result, so texts link the two kinds of roots."""
+    root = lambda kind: F.xxhash64(F.lit(kind), "root")
+    x = found.select("th", root("found").alias("a"), F.col("component_id").alias("ca")).distinct()
+    y = more.select("th", root("more").alias("b"), F.col("component_id").alias("cb")).distinct()
+    texts = stage(x.join(y, "th"), "joint", tidy=True)
+    named = texts.join(components(texts).withColumnRenamed("node", "a"), "a")
+    least = named.groupBy("root").agg(F.min(F.least("ca", "cb")).alias("component_id"))
+    of = stage(named.join(least, "root").select("th", "component_id"), "classes", tidy=True)
+    return found.select("doc_id", "th").join(of, "th")
+
+
 def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one row of each component that found (doc_id, th, component_id) names, as in keep_first."""
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
