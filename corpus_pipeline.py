@@ -24,10 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id. Links are op2's (fingerprints within 3 bits) and, for copies that
-    fingerprints can't find, near copies by 5-word shingles (similarity 0.8)."""
-    found = simhash.merged(simhash.near_duplicates(docs), nearcopies.near_copies(docs))
-    return simhash.firsts(docs, found).select(*docs.columns)
+    """Of each component of near copies (5-word shingles, similarity 0.8) the document with the smallest doc_id. Candidates are op2's
+    links (fingerprints within 3 bits) and, for copies that fingerprints can't find, min-hash bands; all are checked exactly."""
+    return simhash.firsts(docs, nearcopies.near_copies(docs)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Words are those of `simhash`; a text's shingles are the set of its 5-word runs (fewer words: the whole). Two texts whose
 sets have a similarity of 0.8 or more are linked. Fingerprints can't find them: at 0.8 about 10 of 64 bits differ, and
-blocks that cover such a radius have 4 to 6 bits, so nearly all pairs would be compared. Candidates share one of 30 bands
+blocks that cover such a radius have 4 to 6 bits, so nearly all pairs would be compared. The first candidates are those that
+`simhash` links, within 3 bits; they go through the same exact check. The others share one of 30 bands
 of 4 min-hashes each; a pair at 0.8 shares none with probability 1.4e-7, a closer one with less. Equal texts are one node.
 
 Components need not all pairs. The hub of a band is its member that meets most others over all its bands (of edited copies
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from engrama.llm.components import components
 from engrama.llm.shared import drop_stage, stage
+from engrama.llm.simhash import blocks_for, hamming_links, simhash64
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 30, 4
 
@@ -67,7 +69,7 @@ def _node(w: list[bytes]) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, th (a hash of the text), node (a hash of the words), n (distinct shingles) and keys of every row."""
+    """id, th (a hash of the text), node (a hash of the words), fp (op2's fingerprint), n (distinct shingles) and keys of every row."""
 
     def run(batches):
         for b in batches:
@@ -75,11 +77,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             for t in b["t"]:
                 w = words(t)
                 s = shingle_set(w)
-                out.append((_node(w), len(s), band_keys(s)))
-            yield pd.DataFrame({"id": b["id"], "th": b["th"], "node": [x[0] for x in out], "n": [x[1] for x in out], "keys": [x[2] for x in out]})
+                out.append((_node(w), simhash64(t), len(s), band_keys(s)))
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "node": [x[0] for x in out], "fp": pd.Series([x[1] for x in out], dtype="uint64").astype("int64"), "n": [x[2] for x in out], "keys": [x[3] for x in out]})
 
     t = F.col("text")
-    return docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("th"), t.alias("t")).mapInPandas(run, "id long, th long, node long, n long, keys array<long>")
+    return docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("th"), t.alias("t")).mapInPandas(run, "id long, th long, node long, fp long, n long, keys array<long>")
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -128,26 +130,40 @@ def prefix_pairs(bags: DataFrame, roots: DataFrame, similar: float = SIMILAR) ->
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """nodes: node, fp, n. Pairs (a, b) of nodes that simhash links and whose numbers of shingles allow for the similarity: all nodes of
+    a fingerprint with its smallest node, and those of fingerprints within 3 bits with each other."""
+    hubs = stage(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h")).select("fp", "h.*"), "hubs", tidy=True)
+    same = nodes.join(hubs.toDF("fp", "b", "m"), "fp").select(F.col("node").alias("a"), F.col("n").alias("k"), "b", "m")
+    links = stage(hamming_links(hubs.select("fp"), blocks_for(hubs.count())), "near", tidy=True)
+    near = links.join(hubs.toDF("a", "x", "k"), "a").join(hubs.toDF("b", "y", "m"), "b").select(F.col("x").alias("a"), "k", F.col("y").alias("b"), "m")
+    fit = same.union(near).where((F.col("a") != F.col("b")) & _fits(F.col("k"), F.col("m"), similar))
+    return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, th, root (the smallest node of its component), component_id for every row of docs."""
+    """doc_id, th, component_id for every row of docs."""
     rows = stage(sketches(docs), "sketches")
-    nodes = stage(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts", tidy=True)
+    nodes = stage(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "texts", tidy=True)
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = keyed.join(shared, "key").groupBy("node", "n").agg(F.sum("m").alias("met"), F.collect_list(F.struct("band", "key")).alias("keys"))
     met = stage(met, "bands", tidy=True)
-    links, tried, of = None, None, None
+    tried = stage(fingerprint_pairs(nodes.select("node", "fp", "n"), similar), "linked", tidy=True)
+    bags = stage(shingle_sets(tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct(), docs), "sets", tidy=True)
+    links, of = stage(similar_pairs(tried, bags, similar), "alike", tidy=True), None
+    drop_stage(bags)
     for few in (True, False):
         rooted = met.withColumn("root", F.col("node")) if few else met.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = rooted.select("node", "n", "met", "root", F.inline("keys")).where("band < 2" if few else "true")
         hubs = rooted.groupBy("key").agg(F.max(F.struct("met", "node", "n", "root")).alias("h"))
         stars = rooted.join(hubs, "key").where((F.col("root") != F.col("h.root")) & _fits(F.col("n"), F.col("h.n"), similar))
         stars = stars.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct()
-        stars = stage(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars", tidy=True)
+        stars = stage(stars.join(tried, ["a", "b"], "left_anti"), "stars", tidy=True)
         bags = stage(shingle_sets(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), docs), "sets", tidy=True)
         found = stage(similar_pairs(stars, bags, similar), "alike", tidy=True)
         drop_stage(bags)
-        links, tried = (found, stars) if links is None else (links.union(found), tried.union(stars))
+        links, tried = links.union(found), tried.union(stars)
         of = components(links)
     rooted = met.join(of, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.inline("keys"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
@@ -160,5 +176,5 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         of = components(links.union(more))
     named = nodes.join(of, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stage(named.join(least, "root").select("node", "root", "component_id"), "classes")
-    return rows.select("id", "th", "node").join(classes, "node").select(F.col("id").alias("doc_id"), "th", "root", "component_id")
+    classes = stage(named.join(least, "root").select("node", "component_id"), "classes")
+    return rows.select("id", "th", "node").join(classes, "node").select(F.col("id").alias("doc_id"), "th", "component_id")
