@@ -38,8 +38,9 @@ def nearest(reps: DataFrame, k: int, threshold: float, chunk: int = 20_000) -> D
                 cos[mine[:, None] == names[None, :]] = -np.inf
                 i, j = np.nonzero(cos >= threshold)
                 f = pd.DataFrame({"id": mine[i], "other": names[j], "cos": cos[i, j]})
-                f = f.sort_values(["id", "cos", "other"], ascending=[True, False, True])
-                yield f.groupby("id").head(k)
+                # the order of the final ranks: by rounded cos
+                f = f.assign(r=np.floor(f["cos"] * 1e6 + 0.5)).sort_values(["id", "r", "other"], ascending=[True, False, True])
+                yield f.groupby("id").head(k).drop(columns="r")
 
         kind = reps.schema["id"].dataType.simpleString()
         got = reps.mapInPandas(run, f"id {kind}, other {kind}, cos double")

@@ -130,3 +130,12 @@ def test_recall_cog_cuts_a_text_once(spark, monkeypatch):
     got = recall.cog_scores(queries, rt, scope).collect()
     assert len(got) == 100 and all((r["bm25"] > 0) for r in got)
     assert len(saves) == 2 and cut.value < 200
+
+
+def test_nearest_cuts_by_the_rounded_cosine(spark):
+    """Cosines that are equal when rounded go by id, also where a chunk's candidates are cut."""
+    from engrama.operators.graph import nearest
+
+    at = lambda c, sign: [c, sign * (1 - c * c) ** 0.5]
+    reps = spark.createDataFrame([(1, [1.0, 0.0]), (2, at(0.8000001, 1)), (3, at(0.8000002, -1))], "id long, rep array<double>")
+    assert [r["other"] for r in nearest(reps, 1, 0.5).where("id = 1").collect()] == [2]
