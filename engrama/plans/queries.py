@@ -35,7 +35,9 @@ def _postings(s, d):
 def _entity(s, d):
     m = active(data.mem(s, d))
     p = iterate.saved(entities.entity_postings(m))
-    return entities.entity_edges(entities.entity_pairs(p, entities.entity_stats(p, m), floor=3.0, per_node=10))
+    pairs = iterate.saved(entities.entity_pairs(p, entities.entity_stats(p, m), floor=3.0, per_node=10))
+    iterate.dropped(p)
+    return entities.entity_edges(pairs)
 
 
 def _semantic(s, d):
@@ -314,7 +316,9 @@ def eval_metrics(s, d):
 
 
 def grid_search(s, d):
-    scores, expected = iterate.saved(_scores(s, d)), iterate.saved(evaluation.expectations(data.query_set(s, d), data.mem(s, d)))
+    expected = iterate.saved(evaluation.expectations(data.query_set(s, d), data.mem(s, d)))
+    asked = data.query_set(s, d).join(expected.select("qid").distinct(), "qid", "left_semi")  # others have no rank to find
+    scores = iterate.saved(retrieval.score_all(asked, data.mem(s, d), data.block_vec(s, d), usage.usage_counts(data.precog(s, d)), now(), PLAIN_WORD))
     return evaluation.grid_search(scores, expected, keep=66)
 
 

@@ -153,3 +153,28 @@ def test_nearest_cuts_by_the_rounded_cosine(spark):
     at = lambda c, sign: [c, sign * (1 - c * c) ** 0.5]
     reps = spark.createDataFrame([(1, [1.0, 0.0]), (2, at(0.8000001, 1)), (3, at(0.8000002, -1))], "id long, rep array<double>")
     assert [r["other"] for r in nearest(reps, 1, 0.5).where("id = 1").collect()] == [2]
+
+
+def test_grid_search_shuffles_no_spread_scores(spark):
+    """The 66 mixes of a score are compared where they arise: what is shuffled are counts by query and mix."""
+    from engrama.operators import evaluation
+
+    scores = spark.range(3000).selectExpr("id % 3 AS qid", "id", "(id * 37 % 101) / 101D AS cos", "(id * 53 % 97) / 97D AS bm25", "(id * 71 % 89) / 89D AS kw")
+    expected = spark.createDataFrame([(0, 30), (0, 33), (1, 61), (2, 2)], "qid long, id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        got = evaluation.grid_search(scores, expected, keep=66)
+        rows = {(r["d"], r["b"], r["k"]): r["mrr"] for r in got.collect()}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    right, every = {(r["qid"], r["id"]) for r in expected.collect()}, scores.collect()
+    own = {q: [r for r in every if r["qid"] == q] for q in range(3)}
+    top = {q: [max(r[c] for r in x) for c in ("cos", "bm25", "kw")] for q, x in own.items()}
+    for (d, b, k), mrr in rows.items():
+        total = 0
+        for q, x in own.items():
+            s = sorted((-round((d * r["cos"] / top[q][0] + b * r["bm25"] / top[q][1] + k * r["kw"] / top[q][2]) / 10, 6), r["id"]) for r in x)
+            total += max(1 / (i + 1) for i, (_, n) in enumerate(s) if (q, n) in right)
+        assert abs(mrr - total / 3) < 2e-6
+    assert len(rows) == 66 and "strategy=broadcast" in plan
