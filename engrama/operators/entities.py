@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.functions.text import cjk_terms, latin_entities
-from engrama.operators.iterate import saved
+from engrama.operators.iterate import dropped, saved
 
 
 def cjk_term_selection(mem: DataFrame, min_df: int = 4, max_share: float = 0.3, keep: int = 150) -> DataFrame:
@@ -142,12 +142,13 @@ def _block_pairs(per_node: int | None, floor: float, top: int, plain: bool, chun
     return block
 
 
-def entity_pairs(postings: DataFrame, stats: DataFrame, min_idf: float = 0.7, max_df: int = 200, top: int = 4, floor: float = 0.0, per_node: int | None = None, per_block: int = 1_000_000) -> DataFrame:
+def entity_pairs(postings: DataFrame, stats: DataFrame, min_idf: float = 0.7, max_df: int = 200, top: int = 4, floor: float = 0.0, per_node: int | None = None, per_block: int = 1_000_000, per_round: int = 4) -> DataFrame:
     """source, target, shared (the `top` rarest shared entities), weight (their idf sum). Entities above max_df aren't paired: that is the rule of the edge, not a limit on work.
 
     With per_node, of the pairs at or above the floor only those among the per_node strongest of either end. Pairs are never
     dealt out: ids are split into blocks of about per_block postings, the posting lists (max_df ids at most) go to the blocks
-    of their ids, and each block counts its ids' pairs with all others, some ids at a time."""
+    of their ids, and each block counts its ids' pairs with all others, some ids at a time. As a list goes to several blocks,
+    blocks take turns: in a round at most about per_round times the postings are under way, and then they are removed."""
     stats = saved(stats.where((F.col("df") > 1) & F.col("idf").isNotNull()))
     good = stats.where((F.col("idf") >= min_idf) & F.col("df").between(2, max_df)).select("entity", "idf")
     # the commonest entities make up most postings: they are dropped before the join, the others by it
@@ -160,16 +161,23 @@ def entity_pairs(postings: DataFrame, stats: DataFrame, min_idf: float = 0.7, ma
     n, low, high = lists.agg(F.sum(F.size("ids")), low, high).first()
     # whole numbers of a short range go out as int
     plain = whole and low is not None and high - low < (1 << 31) - 1
-    lists = lists.withColumn("ids", F.transform("ids", lambda x: (x - F.lit(low)).cast("int"))) if plain else lists
     own = "int" if plain else kind
     blocks = max(1, -(-(n or 0) // per_block))
+    sent = lists.agg(F.sum(F.size("ids").cast("long") * F.least(F.size("ids"), F.lit(blocks)))).first()[0] or 0
+    rounds = min(blocks, max(1, -(-sent // (per_round * max(1, n or 0)))))
     of = lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int")
-    dealt = lists.select("entity", "idf", "ids", F.explode(F.array_distinct(F.transform("ids", lambda x: of(x)))).alias("block"))
-    dealt = dealt.withColumn("own", F.filter("ids", lambda x: of(x) == F.col("block")))
-    found = dealt.groupBy("block").applyInArrow(_block_pairs(per_node, floor, top, plain), f"source {own}, target {own}, shared array<string>, weight double")
+    out = None
+    for k in range(rounds):
+        ids = lists.withColumn("ids", F.transform("ids", lambda x: (x - F.lit(low)).cast("int"))) if plain else lists
+        turn = F.filter(F.array_distinct(F.transform("ids", lambda x: of(x))), lambda b: b % rounds == F.lit(k))  # noqa: B023  used at once
+        dealt = ids.select("entity", "idf", "ids", F.explode(turn).alias("block"))
+        dealt = dealt.withColumn("own", F.filter("ids", lambda x: of(x) == F.col("block")))
+        found = saved(dealt.groupBy("block").applyInArrow(_block_pairs(per_node, floor, top, plain), f"source {own}, target {own}, shared array<string>, weight double"))
+        out = found if out is None else out.unionByName(found)
+    dropped(lists, stats)
     if plain:
-        found = found.withColumns({c: (F.col(c).cast("long") + F.lit(low)).cast(kind) for c in ("source", "target")})
-    return saved(found if per_node is None else found.dropDuplicates(["source", "target"]))
+        out = out.withColumns({c: (F.col(c).cast("long") + F.lit(low)).cast(kind) for c in ("source", "target")})
+    return out if per_node is None else out.dropDuplicates(["source", "target"])
 
 
 def entity_edges(pairs: DataFrame, floor: float = 3.0, per_node: int = 10) -> DataFrame:

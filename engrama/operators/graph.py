@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from engrama.functions.text import title
 from engrama.functions.vectors import mean_vectors
 from engrama.operators.entities import entity_edges, entity_pairs, entity_postings, entity_stats
-from engrama.operators.iterate import saved
+from engrama.operators.iterate import dropped, saved
 from engrama.sources.memories import active
 
 EDGE = ["source", "target", "type", "weight", "evidence"]
@@ -18,6 +18,7 @@ EDGE = ["source", "target", "type", "weight", "evidence"]
 def nearest(reps: DataFrame, k: int, threshold: float, chunk: int = 20_000) -> DataFrame:
     """id, other, cos: up to k most similar others of each id, by matrix products against chunks of all vectors."""
     spark = reps.sparkSession
+    reps = saved(reps)
     n = reps.count()
     parts = max(1, -(-n // chunk))
     split = reps.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(parts)))
@@ -99,12 +100,16 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 
 def build_graph(mem: DataFrame, block_vec: DataFrame, usage: DataFrame, threshold: float = 0.62, floor: float = 3.0, only_source: str | None = "LOG") -> DataFrame:
+    """All kinds of edges, merged. The large kinds are written one after the other, so that only one's shuffle files are there at a time."""
     live = active(mem)
     postings = saved(entity_postings(live))
-    entity = entity_edges(entity_pairs(postings, entity_stats(postings, live), floor=floor, per_node=10), floor)
+    pairs = saved(entity_pairs(postings, entity_stats(postings, live), floor=floor, per_node=10))
+    dropped(postings)
+    entity = saved(entity_edges(pairs, floor))
+    dropped(pairs)
     ids = live.select("id")
     vec = block_vec.join(ids, "id", "left_semi")
-    parts = [entity, semantic_edges(vec, threshold), reference_edges(mem), temporal_edges(mem, only_source=only_source), usage_graph_edges(usage, mem)]
+    parts = [entity, saved(semantic_edges(vec, threshold)), reference_edges(mem), temporal_edges(mem, only_source=only_source), usage_graph_edges(saved(usage), mem)]
     out = parts[0].select(*EDGE)
     for p in parts[1:]:
         out = out.unionByName(p.select(*EDGE))

@@ -197,3 +197,23 @@ def test_ppr_keeps_two_states_at_most(spark, tmp_path, monkeypatch):
                 step[b] = step.get(b, 0) + 0.6 * x * w / sum(out[a].values())
         want = step
     assert p.keys() == want.keys() and all(abs(p[i] - want[i]) < 1e-12 for i in p) and len(gone) == 5
+
+
+def test_entity_lists_are_dealt_in_rounds(spark, monkeypatch):
+    """However many blocks a list goes to, no more than about per_round times the postings are under way at once."""
+    rows = [(i, f"word{w}") for w in range(12) for i in range(200) if (i + w) % 4]
+    p = spark.createDataFrame(rows, "id long, entity string")
+    stats = p.groupBy("entity").agg(F.count("*").alias("df"), F.lit(2.0).alias("idf"))
+    dealt, whole = [], entities.saved
+
+    def counted(df):
+        out = whole(df)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        dealt.append(plan.count("FlatMapGroupsInArrow"))
+        return out
+
+    monkeypatch.setattr(entities, "saved", counted)
+    key = lambda x: sorted((r["source"], r["target"], r["weight"], tuple(r["shared"])) for r in x.collect())
+    few = key(entities.entity_pairs(p, stats, per_block=100, per_round=4))
+    rounds, dealt[:] = sum(dealt), []
+    assert few == key(entities.entity_pairs(p, stats, per_block=10**6)) != [] and rounds >= 4 and sum(dealt) == 1
