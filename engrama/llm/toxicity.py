@@ -40,6 +40,9 @@ FIT_ROWS = 40_000
 CLEAR = 5.0
 #: Trigrams of the language model have at least this share of all.
 RARE = 1e-6
+#: Python workers hold so much at most, since they live on and keep what they once took: characters whose trigrams are counted at once,
+#: features counted before they are handed on, and words, readings or weights of tokens kept so as not to work them out again.
+CHARS, FEATURES, KEEP = 1 << 18, 50_000, 30_000
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "*": "aeiou", "#": "h"}
 EDGE = ".,;:?\"'()[]{}<>«»„“”!"
@@ -91,12 +94,11 @@ def text_trigrams(text: str) -> Counter:
         is_letter &= ~left_out[token]
     here = np.flatnonzero(np.bincount(raw[is_letter], minlength=1))
     k = len(here) + 1
-    number = np.zeros(0x110000, dtype=np.int64)
-    number[here] = np.arange(1, k)
-    x = np.where(is_letter, number[raw], 0)
+    x = np.zeros(len(raw), dtype=np.int64)
+    x[is_letter] = np.searchsorted(here, raw[is_letter]) + 1
     before = np.where(x[1:-1] > 0, x[:-2], 0)
     code = ((before * k + x[1:-1]) * k + x[2:])[(x[2:] > 0) | (x[1:-1] > 0)]
-    if k**3 <= 1 << 23:
+    if k**3 <= 1 << 20:
         sums = np.bincount(code)
         found = np.flatnonzero(sums)
         sums = sums[found]
@@ -124,7 +126,7 @@ class CharModel:
     def logp(self, a: str, b: str, c: str) -> float:
         k = a + b + c
         if k not in self.kept:
-            if len(self.kept) >= 500_000:
+            if len(self.kept) >= KEEP:
                 self.kept.clear()
             p3 = self.tri.get(k, 0) / (self.ctx2.get(a + b, 0) or 1)
             p2 = self.bi.get(b + c, 0) / (self.ctx1.get(b, 0) or 1)
@@ -174,7 +176,7 @@ def suspicious(token: str) -> bool:
 class Restorer:
     """Restores texts; readings of suspicious tokens are kept, up to `keep` of them."""
 
-    def __init__(self, model: CharModel, keep: int = 200_000):
+    def __init__(self, model: CharModel, keep: int = KEEP):
         self.model, self.keep, self.known = model, keep, {}
 
     def token(self, token: str) -> str:
@@ -286,7 +288,7 @@ class Scorer:
                     best = max(best, p5.get(word[:5], 0.0))
                     if n > 6:
                         best = max(best, p6.get(word[:6], 0.0))
-        if len(self.seen) >= 400_000:
+        if len(self.seen) >= KEEP:
             self.seen.clear()
         self.seen[token] = best
         return best
@@ -294,7 +296,7 @@ class Scorer:
     def weights(self, token: str) -> tuple[float, float, float]:
         """Strongest evidence of a token; the same without one toxic document; without one other document."""
         if token not in self.known:
-            if len(self.known) >= 500_000:
+            if len(self.known) >= KEEP:
                 self.known.clear()
             best = [0.0, 0.0, 0.0]
             for word in LETTERS.findall(token):
@@ -356,10 +358,10 @@ def language_model(docs: DataFrame, rare: float = RARE) -> CharModel:
                 for i in range(0, len(t or ""), 1 << 22):
                     texts.append(t[i : i + (1 << 22)].lower())
                     size += len(texts[-1])
-                    if size > 1 << 21:
+                    if size > CHARS:
                         found.update(text_trigrams("\n".join(texts)))
                         texts, size = [], 0
-                        if len(found) > 1_000_000:
+                        if len(found) > FEATURES:
                             yield from _pieces(["tri", "n"], found.items())
                             found.clear()
         found.update(text_trigrams("\n".join(texts)))
@@ -370,39 +372,47 @@ def language_model(docs: DataFrame, rare: float = RARE) -> CharModel:
     return CharModel({r["tri"]: r["n"] for r in counts.where(F.col("n") >= F.lit(total * rare)).collect()})  # 1 / rare rows at most
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clear: float = CLEAR) -> Scorer:
-    import numpy as np
-
-    sc = docs.sparkSession.sparkContext
-    sample = stage(one_of_copies(fit_sample(docs, labels, fit_rows)), "toxic_fit")
-    restorer = Restorer(language_model(docs))
-    bc = sc.broadcast(restorer)
+def count_features(restorer_bc):
+    """A function over batches of text, toxic: rows (feature, toxic documents, others); a feature may come more than once."""
 
-    def count_features(batches):
+    def count(batches):
         seen: dict[str, list[int]] = {}
         known: dict[str, list[str]] = {}
         for b in batches:
             for t, y in zip(b["text"], b["toxic"]):
                 found: set[str] = set()
-                for x in bc.value.tokens(t):
+                for x in restorer_bc.value.tokens(t):
                     if x not in known:
+                        if len(known) >= KEEP:
+                            known.clear()
                         known[x] = [f for w in LETTERS.findall(x) for f in features(w)]
                     found.update(known[x])
                 for f in found:
                     seen.setdefault(f, [0, 0])[0 if y else 1] += 1
-                if len(known) > 300_000:
-                    known.clear()
-            if len(seen) > 500_000:
-                yield from _pieces(["f", "t", "n"], ((f, *n) for f, n in seen.items()))
-                seen.clear()
+                if len(seen) > FEATURES:
+                    yield from _pieces(["f", "t", "n"], ((f, *n) for f, n in seen.items()))
+                    seen.clear()
         yield from _pieces(["f", "t", "n"], ((f, *n) for f, n in seen.items()))
 
+    return count
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, clear: float = CLEAR) -> Scorer:
+    import numpy as np
+
+    sc = docs.sparkSession.sparkContext
+    sample = stage(one_of_copies(fit_sample(docs, labels, fit_rows)), "toxic_fit")
+    restorer = Restorer(language_model(docs))
+    bc = sc.broadcast(restorer)
+
+    counted = count_features(bc)
+
     size = {r["y"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("y")).agg(F.count("*").alias("n")).collect()}
     toxic, other = size.get(True, 0), size.get(False, 0)
     scorer = Scorer(restorer, {}, toxic, other)
     if not toxic or not other:
         return scorer
-    counts = sample.mapInPandas(count_features, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    counts = sample.mapInPandas(counted, "f string, t long, n long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     p = (F.col("t") + F.col("n")) / (toxic + other)
     z = (F.col("t") / toxic - F.col("n") / other) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / other) + 1e-12)
     best = counts.where("t + n >= 3").withColumn("z", z).where(F.col("z") >= clear)

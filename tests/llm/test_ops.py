@@ -441,6 +441,33 @@ def test_language_model_counts_all_documents(spark, odd):
     assert not toxicity.language_model(odd.limit(0)).tri
 
 
+def test_toxicity_worker_memory():
+    """A worker counts features and trigrams in bounded memory, and its pieces sum to the whole."""
+    import tracemalloc
+
+    pd = pytest.importorskip("pandas")
+    restorer = toxicity.Restorer(toxicity.CharModel({}))
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(6)) for i in range(0, 26**6, 4001)]
+    batches = [pd.DataFrame({"text": [" ".join(names[i : i + 200] + ["same"])], "toxic": [i // 200 % 2]}) for i in range(0, len(names), 200)]
+    held = type("Held", (), {"value": restorer})
+    seen = Counter()
+    tracemalloc.start()
+    for piece in toxicity.count_features(held)(batches):
+        for f, t, n in zip(piece["f"], piece["t"], piece["n"]):
+            if f in ("w:same", "w:" + names[40_000], "w:" + names[40_200]):
+                seen[f, "toxic"] += t
+                seen[f, "other"] += n
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen["w:same", "toxic"] + seen["w:same", "other"] == len(batches)
+    assert (seen["w:" + names[40_000], "other"], seen["w:" + names[40_200], "toxic"]) == (1, 1)
+    assert most < 45e6, most
+    scorer = toxicity.Scorer(restorer, {"w:same": (5, 5)}, 5, 5)
+    for b in batches:
+        scorer.evidence(b["text"][0], 1)
+    assert len(scorer.known) <= toxicity.KEEP and len(restorer.known) <= toxicity.KEEP
+
+
 def test_toxicity_scores(spark, scorer, odd, labels):
     clean, bad = " ".join(PROSE * 3), " ".join([*PROSE, "1d10t", *PROSE, "s t u p i d", *PROSE])
     assert scorer.score(bad) >= 0.7 > 0.3 > scorer.score(clean)
