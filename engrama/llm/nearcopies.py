@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engrama.llm.components import components
-from engrama.llm.shared import drop_stage, stage
+from engrama.llm.shared import drop_stage, marked, marks, stage
 from engrama.llm.simhash import blocks_for, hamming_links, simhash64
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 30, 4
@@ -85,11 +85,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, s (its sorted shingles) for the given distinct nodes."""
+    """node, s (its sorted shingles) for the given distinct nodes. Texts of other nodes are left out before the join, but for a few."""
+    nodes = stage(nodes, "wanted")
+    wanted = marks(nodes.select("node"))
 
     def named(batches):
         for b in batches:
-            yield pd.DataFrame({"node": [_node(words(t)) for t in b["text"]], "text": b["text"]})
+            out = pd.DataFrame({"node": pd.Series([_node(words(t)) for t in b["text"]], dtype="int64"), "text": b["text"]})
+            yield out[marked(wanted.value, out["node"].to_numpy())]
 
     def sets(batches):
         for b in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engrama.llm.components import components
-from engrama.llm.shared import stage, table
+from engrama.llm.shared import marked, marks, stage, table
 
 
 def simhash64(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -138,7 +138,15 @@ def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
     gone = stage(gone, "gone")
-    left = docs.join(gone, (docs["doc_id"] == gone["_d"]) & (th == gone["_t"]), "left_anti")
+    wanted = marks(gone.select("_t"))
+
+    @F.pandas_udf("boolean")
+    def may_go(t: pd.Series) -> pd.Series:
+        return pd.Series(marked(wanted.value, t.to_numpy()))
+
+    # only rows that may go meet in the join, so the others aren't shuffled
+    left = docs.where(may_go(th)).join(gone, (F.col("doc_id") == F.col("_d")) & (th == F.col("_t")), "left_anti")
+    left = docs.where(~may_go(th)).unionByName(left)
     twice = stage(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_d")), "twice")
     if twice.isEmpty():
         return left

@@ -441,6 +441,16 @@ def test_language_model_counts_all_documents(spark, odd):
     assert not toxicity.language_model(odd.limit(0)).tri
 
 
+def test_marks_miss_none(spark):
+    """The map before the joins of near copies marks every wanted hash, and few others."""
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(3)
+    wanted, others = (rng.integers(-(1 << 63), 1 << 63, 9_000, dtype=np.int64) for _ in range(2))
+    found = shared.marks(spark.createDataFrame([(int(x),) for x in wanted], "h long")).value
+    assert shared.marked(found, wanted).all() and shared.marked(found, others).mean() < 0.1
+    assert not shared.marked(shared.marks(spark.range(0).select("id")).value, others).any()
+
+
 def test_toxicity_worker_memory():
     """A worker counts features and trigrams in bounded memory, and its pieces sum to the whole."""
     import tracemalloc
