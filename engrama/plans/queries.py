@@ -317,9 +317,7 @@ def eval_metrics(s, d):
 
 def grid_search(s, d):
     expected = iterate.saved(evaluation.expectations(data.query_set(s, d), data.mem(s, d)))
-    asked = data.query_set(s, d).join(expected.select("qid").distinct(), "qid", "left_semi")  # others have no rank to find
-    scores = iterate.saved(retrieval.score_all(asked, data.mem(s, d), data.block_vec(s, d), usage.usage_counts(data.precog(s, d)), now(), PLAIN_WORD))
-    return evaluation.grid_search(scores, expected, keep=66)
+    return evaluation.grid_search_over(data.query_set(s, d), data.mem(s, d), data.block_vec(s, d), expected, PLAIN_WORD, keep=66)
 
 
 def expected_hits(s, d):

@@ -181,6 +181,34 @@ def test_grid_search_shuffles_no_spread_scores(spark):
     assert len(rows) == 66 and not spread
 
 
+def test_grid_search_makes_no_table_of_scores(spark, tmp_path, monkeypatch):
+    """Ties, copies, texts without words or ids, and queries without vectors, words or hits, against the SQL; no rows by query and memory are written."""
+    from engrama.operators import evaluation
+
+    texts = {i: f"alpha beta{i % 7} gamma{i % 3}\nred fox {'jumps' * (i % 4)} {'over ' * (i % 5)}" for i in range(400)}
+    texts |= {400: None, 401: "\u4e2d\u6587 \u4e2d\u6587", 402: "?!", 403: "red  fox\n", 404: "?! - red fox alpha"}
+    documents = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(None, "red fox alpha")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "0L AS n_chars")
+    benchmark = spark.createDataFrame([(0, "red fox"), (1, "beta3 gamma1"), (2, "?!"), (3, "not there"), (4, "alpha"), (900, "gamma2 red"), (5, " ")], "item_id long, text string")
+    vector = lambda i: [((i * 37 + d * 11) % 17 - 8.0) / 30 for d in range(8)]
+    vectors = spark.createDataFrame([(i, vector(i)) for i in range(120)], "vec_id long, embedding array<float>")
+    events = spark.createDataFrame([(0, "click")], "event_id long, event_type string").selectExpr("event_id", "timestamp '2024-01-01' AS ts", "1L AS user_id", "event_type", "0D AS value", "'{\"k\": 1}' AS props")
+    saves = []
+    monkeypatch.setattr(evaluation, "saved", lambda df, f=evaluation.saved: saves.append(f(df)) or saves[-1])
+    got, want = both(spark, tables(tmp_path, spark, documents=documents, benchmark=benchmark, embeddings=vectors, events=events), "grid_search")
+    assert got == want and len(got) == 66 and len({r[3] for r in got}) > 1
+    assert max(x.count() for x in saves) < 406 * 5
+
+
+def test_expected_hits_read_a_text_once(spark, tmp_path):
+    texts = {0: "a b\n c", 1: "xa  b cx", 2: "b c", 3: None, 4: "a"}
+    benchmark = spark.createDataFrame([(0, "a b c"), (1, "b  c"), (2, "a b c"), (3, ""), (4, "zz"), (5, None)], "item_id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
+    folder = tables(tmp_path, spark, texts, benchmark=benchmark, embeddings=vectors)
+    got, want = both(spark, folder, "expected_hits")
+    assert got == want and len(got) == 7
+    assert "NestedLoop" not in registry.queries()["expected_hits"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ppr_keeps_two_states_at_most(spark, tmp_path, monkeypatch):
     """Each round is a job of its own, and the state before the last one is removed."""
     from engrama.operators import ppr
