@@ -23,7 +23,7 @@ def _stats(s, d):
 
 
 def _uedges(s, d):
-    return usage.usage_edges(data.precog(s, d), now())
+    return usage.usage_edges(data.precog(s, d), now(), unique=True)  # precog groups by record id
 
 
 def _postings(s, d):

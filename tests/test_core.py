@@ -122,6 +122,49 @@ def test_modularity_and_leiden(spark):
     assert (r["edges"], r["dropped_weight"], r["dropped_loops"], r["kept"]) == (9, 1, 1, 7)
 
 
+def test_leiden_of_a_large_component_moves_in_rounds(monkeypatch):
+    """Rings of cliques are found as before, and on a random graph quality is near that of moves node by node."""
+    import random
+
+    import numpy as np
+
+    def quality(es, of, total):
+        k, d = [0.0] * len(of), {}
+        for a, b, w in es:
+            k[a] += w
+            k[b] += w
+        for v, c in enumerate(of):
+            d[c] = d.get(c, 0.0) + k[v]
+        return sum(2 * w for a, b, w in es if of[a] == of[b]) / total - sum((x / total) ** 2 for x in d.values())
+
+    def arrays(es):
+        a, b, w = zip(*es)
+        return np.array(a), np.array(b), np.array(w, dtype=float)
+
+    ring = [(6 * c + i, 6 * c + j, 1.0) for c in range(50) for i in range(6) for j in range(i)] + [(6 * c, (6 * c + 7) % 300, 0.1) for c in range(50)]
+    total = 2 * sum(e[2] for e in ring)
+    for seed in range(3):
+        of = leiden.leiden_large(*arrays(ring), 300, total, 5.0, seed, small=10)
+        assert len(set(of)) == 50 and all(of[v] == of[v - v % 6] for v in range(300))
+    rng = random.Random(1)
+    pairs = {tuple(sorted(rng.sample(range(40 * (g % 50), 40 * (g % 50) + 40) if g % 5 else range(2000), 2))) for g in range(12_000)}
+    es = [(a, b, rng.random() + 0.5) for a, b in sorted(pairs)]
+    total = 2 * sum(e[2] for e in es)
+    of = leiden.leiden_large(*arrays(es), 2000, total, 1.0, 0, small=100)
+    assert of == leiden.leiden_large(*arrays(es), 2000, total, 1.0, 0, small=100)
+    assert quality(es, of, total) > quality(es, leiden.leiden(es, 2000, total), total) - 0.01
+    with pytest.raises(ValueError):
+        leiden.leiden_large(*arrays(es), 2000, total, 0.0)
+
+
+def test_usage_edges_of_unique_records(spark):
+    """Hits found within a record equal those dealt out: repeats, nulls, ranks over the window, accuracies of any kind."""
+    rows = [("R_2026-08-01-10:00:00", [("A", "false"), ("A", "true"), (None, "true"), ("B", "true"), ("C", None), ("D", "Revelant"), ("E", "true"), ("F", "true")])]
+    rows += [("R_2026-08-02-10:00:00", [("B", "true"), ("D", "relevant")]), ("R_2026-08-03-10:00:00", [("B", "true")]), ("R_2026-08-04-10:00:00", [])]
+    got = [sorted(map(tuple, usage.usage_edges(log(spark, rows), at("2026-08-10 00:00:00"), unique=u).collect())) for u in (False, True)]
+    assert got[0] == got[1] and [(r[0], r[1], r[3]) for r in got[0]] == [("B", "D", 2), ("B", "E", 1), ("D", "E", 1)]
+
+
 def test_leiden_ring_of_cliques():
     edges = [(6 * 0 + 4 * c + a, 4 * c + b, 1.0) for c in range(6) for a in range(4) for b in range(a)]
     edges += [(4 * c, (4 * c + 5) % 24, 1.0) for c in range(6)]
